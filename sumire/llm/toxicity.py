@@ -16,10 +16,10 @@ from ._shared import table
 from .decontaminate import WORDS
 
 #: Labelled rows that the chain is fitted on at most, those of the lowest hash of doc_id; scoring covers all rows.
-SAMPLE = 6000
-#: Features of a model at most, the documents that must have one, and its least z of the log odds.
-FEATURES, SUPPORT, LEAST_Z = 300, 4, 3.0
-FOLDS, RIDGE, HALF = 5, 0.3, 0.5
+SAMPLE = 4000
+#: Features of a model at most, the documents that must have one, its least log-likelihood ratio (G) and size of log odds.
+FEATURES, SUPPORT, LEAST_G, LEAST_ODDS = 300, 3, 22.0, 2.0
+FOLDS, RIDGE, HALF = 5, 0.1, 0.5
 DENSE = 4
 
 
@@ -56,9 +56,11 @@ def _chosen(rows: list[set[bytes]], y: np.ndarray) -> dict[bytes, int]:
         a, b = yes[x], no[x]
         if a + b >= SUPPORT:
             odds = np.log((a + 0.5) / (p - a + 0.5)) - np.log((b + 0.5) / (n - b + 0.5))
-            z = odds / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-            if abs(z) >= LEAST_Z:
-                scored.append((-abs(z), x))
+            if abs(odds) >= LEAST_ODDS:
+                share = (a + b) / (p + n)
+                g = 2 * sum(k * np.log(k / e) for k, e in ((a, p * share), (b, n * share), (p - a, p * (1 - share)), (n - b, n * (1 - share))) if k)
+                if g >= LEAST_G:
+                    scored.append((-g, x))
     return {x: i for i, (_, x) in enumerate(sorted(scored)[:FEATURES])}
 
 
