@@ -86,8 +86,10 @@ def _u(blobs: list[bytes], kind: str) -> np.ndarray:
 
 def _cuts(sorted_keys: np.ndarray) -> list[tuple[int, int, int]]:
     """(bucket, from, to) of keys in order."""
+    if not len(sorted_keys):
+        return []
     b = (sorted_keys >> np.uint64(32)).astype(np.int64)
-    at = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])) if len(b) else np.zeros(0, np.int64)
+    at = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
     return [(int(b[i]), int(i), int(j)) for i, j in zip(at, [*at[1:], len(b)], strict=True)]
 
 
