@@ -6,11 +6,11 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import table
+from ._shared import fresh, table
 
 #: Bytes to bytes: A-Z in lower case, all that parts words a space. 0x80 and above belong to words.
 WORDS = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
@@ -151,7 +151,7 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def hits(docs: DataFrame, items: DataFrame, window: int = 13) -> DataFrame:
-    """docs with __words long, __spans (merged spans of hit words, [from, to)) and __items (names of items with occurring windows, sorted).
+    """docs with __words long, __spans (merged spans of hit words, [from, to)) and __items (names of items with occurring windows, sorted), as the last three columns; they are named otherwise if docs has such columns.
 
     Items are a test set, whose bytes are read in blocks: each block is one broadcast of bounded size and
     one automaton in a task at a time. Null and empty texts have no words, spans or items.
@@ -160,7 +160,8 @@ def hits(docs: DataFrame, items: DataFrame, window: int = 13) -> DataFrame:
     held = [context.broadcast(b) for b in load_items(items)]
     at = docs.columns.index("text")
     pair = T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
-    schema = T.StructType([*docs.schema.fields, T.StructField("__words", T.LongType()), T.StructField("__spans", pair), T.StructField("__items", T.ArrayType(T.StringType()))])
+    added = fresh(docs, "__words", "__spans", "__items")
+    schema = T.StructType([*docs.schema.fields, *map(T.StructField, added, (T.LongType(), pair, T.ArrayType(T.StringType())))])
     kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,23 +178,24 @@ def hits(docs: DataFrame, items: DataFrame, window: int = 13) -> DataFrame:
                     spans[i] += found
                     names[i] |= of
             made = [pa.array(n, pa.int64()), pa.array([[{"a": p, "b": q} for p, q in merge(s)] for s in spans], kind), pa.array([sorted(s) for s in names], pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([*b.columns, *made], [*b.schema.names, "__words", "__spans", "__items"])
+            yield pa.RecordBatch.from_arrays([*b.columns, *made], [*b.schema.names, *added])
 
     return docs.mapInArrow(run, schema)
 
 
-N_HIT = "aggregate(__spans, 0L, (s, x) -> s + x.b - x.a)"
+def n_hit(spans: str) -> Column:
+    return F.expr(f"aggregate(`{spans}`, 0L, (s, x) -> s + x.b - x.a)")
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of hits(): a row for each document; a null text has no words."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = hits(docs, table(spark, sf_dir, "benchmark")).select("doc_id", F.col("__words").alias("n_words"), F.expr(N_HIT).alias("n_hit"), F.size("__items").cast("long").alias("n_items"), F.sha2(F.array_join("__items", ","), 256).alias("items_sha256"))
+    found = hits(docs, table(spark, sf_dir, "benchmark")).select("doc_id", F.col("__words").alias("n_words"), n_hit("__spans").alias("n_hit"), F.size("__items").cast("long").alias("n_items"), F.sha2(F.array_join("__items", ","), 256).alias("items_sha256"))
     return found.withColumn("contaminated", F.expr("n_hit > 0 and 20 * n_hit >= n_words"))
 
 
 def _cut(text: str, spans: list[dict]) -> str:
-    """text without the bytes of the spans of words; white space around a removed span becomes one space or line end."""
+    """text without the bytes from the first to the last word of each span; all outside the spans stays."""
     raw = text.encode()
     clean = raw.translate(WORDS)
     ends, at = [], 0
@@ -213,7 +215,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, share: fl
 
     Columns stay; n_chars follows the text if there is such a column. Null and empty texts stay as they are.
     """
-    found = hits(docs, items, window).where(F.expr(f"not ({N_HIT} > 0 and {N_HIT} >= {share}D * __words)"))
+    found = hits(docs, items, window)
+    n, spans, _ = found.columns[-3:]
+    found = found.where((n_hit(spans) == 0) | (n_hit(spans) * F.lit(1 / share) < F.col(n)))
     at, names, schema = docs.columns.index("text"), docs.columns, docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

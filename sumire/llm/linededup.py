@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import Scratch, table
+from ._shared import Scratch, fresh, table
 
 WINDOW = 3
 
@@ -49,10 +49,11 @@ def keep_lines(lines: list[str], starts: list[int]) -> tuple[list[str], int]:
 
 
 def _with_starts(docs: DataFrame) -> DataFrame:
-    """docs and __starts, null where nothing is removed."""
-    found = covered(docs).select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("starts").alias("__starts"))
-    d = docs.withColumn("__hash", F.xxhash64("text"))
-    return d.join(found, (d["doc_id"].cast("long").eqNullSafe(found["__id"])) & (d["__hash"] == found["__th"]), "left").select(*[d[c] for c in docs.columns], "__starts")
+    """docs and, as its last column, starts of windows that go, null where nothing is removed."""
+    own, i, h, starts = fresh(docs, "__hash", "__id", "__th", "__starts")
+    found = covered(docs).select(F.col("id").alias(i), F.col("th").alias(h), F.col("starts").alias(starts))
+    d = docs.withColumn(own, F.xxhash64("text"))
+    return d.join(found, (d["doc_id"].cast("long").eqNullSafe(found[i])) & (d[own] == found[h]), "left").select(*[d[c] for c in docs.columns], found[starts])
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import table
+from ._shared import fresh, table
 from .decontaminate import WORDS
 
 #: Labelled rows that the chain is fitted on at most, those of the lowest hash of doc_id; scoring covers all rows.
@@ -140,8 +140,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Link
 
 
 def score(docs: DataFrame, chain: list[Link]) -> DataFrame:
-    """docs with __p, the probability of each category in the chain's order; null and empty texts are scored by what they lack."""
-    at, held = docs.columns.index("text"), docs.sparkSession.sparkContext.broadcast(chain)
+    """docs and, as its last column, __p (named otherwise if docs has one): the probability of each category in the chain's order.
+
+    Null and empty texts are scored by what they lack.
+    """
+    at, held, (name,) = docs.columns.index("text"), docs.sparkSession.sparkContext.broadcast(chain), fresh(docs, "__p")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         links = held.value
@@ -153,9 +156,9 @@ def score(docs: DataFrame, chain: list[Link]) -> DataFrame:
                 for link in links:
                     p.append(link.score(found, dense, p))
                 out.append(p)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.list_(pa.float64()))], [*b.schema.names, "__p"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.list_(pa.float64()))], [*b.schema.names, name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__p", T.ArrayType(T.DoubleType()))]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(T.DoubleType()))]))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,4 +171,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that aren't toxic."""
     chain = train(docs, table(spark, sf_dir, "labels"))
-    return score(docs, chain).where(F.col("__p")[1] < HALF).drop("__p")
+    out = score(docs, chain)
+    return out.where(F.col(out.columns[-1])[1] < HALF).drop(out.columns[-1])
