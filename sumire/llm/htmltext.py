@@ -16,6 +16,8 @@ from .urlfilter import host_of
 
 #: Importance below which a branch goes, pages of a host that its style must have, and damping of deeper levels.
 LOW, PAGES, DEEP = 0.2, 5, 0.9
+#: Depth beyond which nodes lie side by side, as in browsers.
+DEEPEST = 512
 #: Low branches that a broadcast holds at most; beyond it they are joined by host.
 BROADCAST_ROWS = 20_000
 
@@ -29,6 +31,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCK = frozenset(
     "html body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr caption blockquote pre figure figcaption address details summary hr header footer nav aside form fieldset hgroup center menu dialog".split()
 )
+#: Of the hashes of runs of text.
+PRIME, BASE = (1 << 61) - 1, 0x1F3D5B79A2C4E6
 SPACED = frozenset("br td th".split())
 #: What an opening tag closes, and the tags beyond which it doesn't look.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -42,10 +46,10 @@ SPLIT = re.compile(r"[^a-z0-9]+")
 
 
 class Node:
-    __slots__ = ("tag", "style", "up", "items", "noise", "holds", "path", "text")
+    __slots__ = ("tag", "style", "up", "items", "noise", "holds", "path", "depth", "content")
 
     def __init__(self, tag: str, style: str, up: Node | None, noise: bool):
-        self.tag, self.style, self.up, self.noise = tag, style, up, noise
+        self.tag, self.style, self.up, self.noise, self.depth = tag, style, up, noise, up.depth + 1 if up else 0
         self.items: list[Node | str] = []
         self.holds = False  # an article or main below
 
@@ -111,7 +115,7 @@ def parse(html: str, memo: dict) -> Node:
             while up is not None and not up.holds:
                 up.holds = True
                 up = up.up
-        if tag not in VOID:
+        if tag not in VOID and node.depth < DEEPEST:
             at = node
     return root
 
@@ -167,24 +171,45 @@ def blocks(node: Node, low: set[int] | frozenset = frozenset()) -> list[str]:
 
 def styled(node: Node, whole: bool) -> list[Node]:
     """Block nodes below that the style tree judges, each with its path's hash: in an article those with a class or id of their own, else all."""
-    out, todo = [], [(node, node.style)]
+    out, todo = [], [(node, 0)]
     node.path = 0
     while todo:
         at, path = todo.pop()
         for x in at.items:
             if isinstance(x, str):
                 continue
-            own = f"{path}/{x.style}"
             x.path = 0
             if x.noise and not x.holds:
                 continue
+            own = xxhash.xxh64_intdigest(f"{path}/{x.style}") - (1 << 63)
             if x.tag in BLOCK and x.tag not in ROOTS and (whole or "." in x.style):
-                x.path = xxhash.xxh64_intdigest(own) - (1 << 63)
+                x.path = own
                 out.append(x)
             todo.append((x, own))
     return out
 
 
+def _contents_hashed(top: Node) -> None:
+    """On every node below, (hash, power) of its runs of text in page order, whatever nodes they are in."""
+    order, todo = [], [top]
+    while todo:
+        order.append(x := todo.pop())
+        todo += [y for y in x.items if not isinstance(y, str) and not (y.noise and not y.holds)]
+    for x in reversed(order):
+        h, power = 0, 1
+        for y in x.items:
+            if isinstance(y, str):
+                if not (words := y.split()):
+                    continue
+                more, by = xxhash.xxh64_intdigest(" ".join(words)) % PRIME, BASE
+            elif y.noise and not y.holds:
+                continue
+            else:
+                more, by = y.content
+            h, power = (h * by + more) % PRIME, power * by % PRIME
+        x.content = (h, power)
+
+
 def _features(pages: DataFrame) -> DataFrame:
     """(host, path, kind, feature, page): what each distinct page of a host shows at each path: its children's styles and its text, by hash."""
 
@@ -200,11 +225,11 @@ def _features(pages: DataFrame) -> DataFrame:
                     found = styled(top, top is root)
                     if not found:
                         continue
-                    page = xxhash.xxh64_intdigest("\n".join(blocks(top))) - (1 << 63)
+                    _contents_hashed(top)
                     for x in found:
                         shape = ">".join(y.style for y in x.items if not isinstance(y, str))
-                        rows.add((host, x.path, 0, xxhash.xxh64_intdigest(shape) - (1 << 63), page))
-                        rows.add((host, x.path, 1, xxhash.xxh64_intdigest("\n".join(blocks(x))) - (1 << 63), page))
+                        rows.add((host, x.path, 0, xxhash.xxh64_intdigest(shape) - (1 << 63), top.content[0]))
+                        rows.add((host, x.path, 1, x.content[0], top.content[0]))
             cut = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cut, (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["host", "path", "kind", "feature", "page"])
 
