@@ -13,8 +13,10 @@ from ._shared import Scratch, components, parts, table
 
 #: Vectors that codebooks and the number of visited cells are fitted on at most; every vector is indexed.
 SAMPLE = 20_000
-#: Wanted vectors in a cell, codewords of a half at most, and vectors of a cell compared in one task.
+#: Wanted vectors in a cell, codewords of a half at most, and vectors living in a cell that one task holds.
 CELL, CODEWORDS, BLOCK = 192, 1024, 2048
+#: Visitors of a cell compared in one task; those of a crowded cell are cut into parties.
+GUESTS = 8192
 RECALL, QUERIES = 0.995, 600
 
 
@@ -102,53 +104,48 @@ def classes(vectors: DataFrame) -> DataFrame:
     return vectors.where(ok).groupBy(F.xxhash64("embedding").alias("node")).agg(F.first("embedding").alias("embedding"), F.count("*").alias("n"))
 
 
+def _forest(near: np.ndarray) -> list[tuple[int, int]]:
+    """(row, column) links of a spanning forest of the bipartite graph."""
+    rows, columns, out = near.any(1), near.any(0), []
+    while rows.any():
+        todo = [(int(rows.argmax()), True)]
+        rows[todo[0][0]] = False
+        while todo:
+            x, is_row = todo.pop()
+            new = np.flatnonzero(near[x] & columns if is_row else near[:, x] & rows)
+            (columns if is_row else rows)[new] = False
+            out += [(x, int(y)) if is_row else (int(y), x) for y in new]
+            todo += [(int(y), not is_row) for y in new]
+    return out
+
+
 def _compare(alike: float):
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        """Links from the vectors that visit a cell to a block of those that live there, as counts and a spanning forest."""
-        at_home = np.asarray(rows["home"].to_numpy())
+        """Links from a block of a cell's visitors to a block of those that live there: counts, and spanning forests."""
+        at_home = rows["home"].to_numpy()
         block, visitors = rows.filter(pa.array(at_home)).combine_chunks(), rows.filter(pa.array(~at_home)).combine_chunks()
-        credit: dict[int, int] = {}
-        forest: list[tuple[int, int]] = []
+        ids, counts, forest = [], [], []
         if len(block) and len(visitors):
             one = lambda c: c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
-            get = lambda t, c: t[c].to_numpy()
-            h = unit(np.stack(_floats(one(block["embedding"]))))
-            h_id, h_n = get(block, "node"), get(block, "n")
-            h_visits = [set(x.tolist()) for x in _floats(one(block["visits"]))]
-            q_id, q_n, q_cell = get(visitors, "node"), get(visitors, "n"), get(visitors, "own")
-            all_q = _floats(one(visitors["embedding"]))
-            linked: list[tuple[int, np.ndarray]] = []
-            for i in range(0, len(all_q), BLOCK):
-                near = unit(np.stack(all_q[i : i + BLOCK])) @ h.T >= alike
-                near &= q_id[i : i + BLOCK, None] != h_id[None, :]
-                for r in np.flatnonzero(near.any(1)):
-                    linked.append((i + r, np.flatnonzero(near[r])))
-            back: dict[int, list[int]] = {}
-            for q, hs in linked:
-                credit[int(q_id[q])] = credit.get(int(q_id[q]), 0) + int(h_n[hs].sum())
-                for x in hs.tolist():
-                    back.setdefault(x, []).append(q)
-                    if q_cell[q] not in h_visits[x]:  # the other way isn't seen elsewhere
-                        credit[int(h_id[x])] = credit.get(int(h_id[x]), 0) + int(q_n[q])
-            ahead, seen_q, seen_h = dict(linked), set(), set()
-            for start in ahead:
-                if start in seen_q:
-                    continue
-                seen_q.add(start)
-                todo = [start]
-                while todo:
-                    q = todo.pop()
-                    for x in ahead[q].tolist():
-                        if x not in seen_h:
-                            seen_h.add(x)
-                            forest.append((int(q_id[q]), int(h_id[x])))
-                            for other in back[x]:
-                                if other not in seen_q:
-                                    seen_q.add(other)
-                                    forest.append((int(h_id[x]), int(q_id[other])))
-                                    todo.append(other)
-        kinds = [*((a, None, n) for a, n in credit.items()), *((a, b, 0) for a, b in forest)]
-        return pa.table({"a": pa.array([k[0] for k in kinds], pa.int64()), "b": pa.array([k[1] for k in kinds], pa.int64()), "n": pa.array([k[2] for k in kinds], pa.int64())})
+            h, h_id, h_n = unit(np.stack(_floats(one(block["embedding"])))), block["node"].to_numpy(), block["n"].to_numpy()
+            h_visits = np.stack(_floats(one(block["visits"]))).T
+            q_id, q_n, q_cell, every = visitors["node"].to_numpy(), visitors["n"].to_numpy(), visitors["own"].to_numpy(), _floats(one(visitors["embedding"]))
+            back = np.zeros(len(h), np.int64)
+            for i in range(0, len(every), BLOCK):
+                s = slice(i, i + BLOCK)
+                near = (unit(np.stack(every[s])) @ h.T >= alike) & (q_id[s, None] != h_id[None, :])
+                ids.append(q_id[s])
+                counts.append(near @ h_n)
+                forest += [(int(q_id[i + x]), int(h_id[y])) for x, y in _forest(near)]
+                for v in h_visits:  # where the other visits this one's cell, the way back is counted there
+                    near &= v[None, :] != q_cell[s, None]
+                back += q_n[s] @ near
+            ids.append(h_id)
+            counts.append(back)
+        a, n = (np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64) for x in (ids, counts))
+        a, n = a[n > 0], n[n > 0]
+        none = pa.nulls(len(a), pa.int64())
+        return pa.table({"a": pa.concat_arrays([pa.array(a), pa.array([x for x, _ in forest], pa.int64())]), "b": pa.concat_arrays([none, pa.array([x for _, x in forest], pa.int64())]), "n": pa.concat_arrays([pa.array(n), pa.array([0] * len(forest), pa.int64())])})
 
     return run
 
@@ -162,7 +159,7 @@ def near_duplicates(vectors: DataFrame, alike: float = 0.95, recall: float = REC
     no other is there, and is not kept.
 
     Every vector lives in one cell and visits the nearest, in multi-sequence order, as many as reach the wanted recall on the
-    sample. A crowded cell is cut into blocks of BLOCK, which its visitors meet one by one.
+    sample. A crowded cell is cut into blocks of BLOCK and its visitors into parties of GUESTS; every party meets every block.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "embeddings")
@@ -189,13 +186,15 @@ def near_duplicates(vectors: DataFrame, alike: float = 0.95, recall: float = REC
 
     kind = own.schema["embedding"].dataType.simpleString()
     placed = scratch.save(own.mapInArrow(place, f"node long, embedding {kind}, n long, size int, own long, visits array<long>"))
-    crowd = placed.groupBy("size", F.col("own").alias("cell")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
-    crowd = scratch.save(crowd)
-    homes = placed.select("size", F.col("own").alias("cell"), "node", "embedding", "n", "own", "visits", F.lit(True).alias("home"))
     guests = placed.select("size", F.explode("visits").alias("cell"), "node", "embedding", "n", "own", F.expr("CAST(array() AS array<bigint>)").alias("visits"), F.lit(False).alias("home"))
-    both = homes.unionByName(guests).join(crowd, ["size", "cell"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    both = both.withColumn("block", F.explode(F.when(F.col("home"), F.array(F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
-    found = scratch.save(both.groupBy("size", "cell", "block").applyInArrow(_compare(alike), "a long, b long, n long"))
+    homes = placed.select("size", F.col("own").alias("cell"), "node", "embedding", "n", "own", "visits", F.lit(True).alias("home"))
+    both = homes.unionByName(guests)
+    crowd = both.groupBy("size", "cell").agg(F.ceil(F.count_if("home") / BLOCK).cast("int").alias("blocks"), F.ceil(F.count_if(~F.col("home")) / GUESTS).cast("int").alias("parties"))
+    crowd = scratch.save(crowd.where("blocks > 1 or parties > 1"))
+    both = both.join(crowd, ["size", "cell"], "left").withColumns({x: F.greatest(F.coalesce(x, F.lit(1)), F.lit(1)) for x in ("blocks", "parties")})
+    dealt = lambda n, mine, seed: F.when(mine, F.array(F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int"))).otherwise(F.sequence(F.lit(0), F.col(n) - 1))
+    both = both.withColumn("block", F.explode(dealt("blocks", F.col("home"), 0))).withColumn("party", F.explode(dealt("parties", ~F.col("home"), 1)))
+    found = scratch.save(both.groupBy("size", "cell", "block", "party").applyInArrow(_compare(alike), "a long, b long, n long"))
     counts = found.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links"))
     label = components(found.where("b is not null").select("a", "b"), scratch)
     of = own.select("node", F.col("n").alias("alike")).join(counts, "node", "left").join(label, "node", "left").select("node", "alike", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "node").alias("component"))
