@@ -53,6 +53,7 @@ def _with_starts(docs: DataFrame) -> DataFrame:
     own, i, h, starts = fresh(docs, "__hash", "__id", "__th", "__starts")
     found = covered(docs).select(F.col("id").alias(i), F.col("th").alias(h), F.col("starts").alias(starts))
     d = docs.withColumn(own, F.xxhash64("text"))
+    found = found.hint("merge")  # starts grow with the documents, so they are never broadcast
     return d.join(found, (d["doc_id"].cast("long").eqNullSafe(found[i])) & (d[own] == found[h]), "left").select(*[d[c] for c in docs.columns], found[starts])
 
 
