@@ -17,6 +17,8 @@ from .decontaminate import WORDS
 
 #: Labelled rows that the chain is fitted on at most, those of the lowest hash of doc_id; scoring covers all rows.
 SAMPLE = 4000
+#: Bytes of the sample's distinct words that the driver holds at most; rows beyond it are left out of the sample.
+SAMPLE_BYTES = 64 << 20
 #: Features of a model at most, the documents that must have one, its least log-likelihood ratio (G) and size of log odds.
 FEATURES, SUPPORT, LEAST_G, LEAST_ODDS = 300, 3, 22.0, 2.0
 FOLDS, RIDGE, HALF = 5, 0.1, 0.5
@@ -119,8 +121,8 @@ def fit_chain(rows: list[set[bytes]], dense: np.ndarray, labels: dict[str, np.nd
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Link]:
     """The chain low_quality, toxic, fitted on at most sample labelled rows.
 
-    Labels with a null are left out; of several rows for a doc_id the highest values count. Only the sample's
-    distinct words reach the driver.
+    Labels with a null are left out; of several rows for a doc_id the worst values count. Only the sample's
+    distinct words reach the driver, SAMPLE_BYTES of them at most.
     """
     rows = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("__label_id")).agg(F.min("quality").alias("__quality"), F.max("toxic").alias("__toxic"))
     few = rows.orderBy(F.xxhash64("__label_id"), "__label_id").limit(sample)
@@ -132,9 +134,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Link
             words = [b" ".join(sorted(x for x in f if b" " not in x)) for f, _ in found]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.binary()), pa.array([d for _, d in found], pa.list_(pa.float64())), b.column(2), b.column(3)], ["id", "words", "dense", "quality", "toxic"])
 
-    seen = texts.select("__doc", "__text", F.col("__quality").cast("int"), F.col("__toxic").cast("int")).mapInArrow(run, "id long, words binary, dense array<double>, quality int, toxic int").toArrow().sort_by([("id", "ascending"), ("words", "ascending")]).to_pylist()
-    seen = list({r["id"]: r for r in seen}.values())
-    rows_ = [(lambda own: own | {b"4 " + w[:4] for w in own} | {b"5 " + w[:5] for w in own})(set(r["words"].split())) for r in seen]
+    seen = texts.select("__doc", "__text", F.col("__quality").cast("int"), F.col("__toxic").cast("int")).mapInArrow(run, "id long, words binary, dense array<double>, quality int, toxic int")
+    held, size = {}, 0
+    for r in seen.orderBy(F.xxhash64("id"), "id", "words").toLocalIterator():
+        size += len(r.words)
+        if size > SAMPLE_BYTES:
+            break
+        held[r.id] = r
+    seen = list(held.values())
+    rows_ = [(lambda own: own | {b"4 " + w[:4] for w in own} | {b"5 " + w[:5] for w in own})(set(bytes(r["words"]).split())) for r in seen]
     dense = np.array([r["dense"] for r in seen]).reshape(len(seen), DENSE)
     return fit_chain(rows_, dense, {"low_quality": np.array([float(r["quality"] == 0) for r in seen]), "toxic": np.array([float(r["toxic"] > 0) for r in seen])})
 
