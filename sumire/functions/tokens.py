@@ -153,17 +153,29 @@ def _fill() -> None:
 _fill()
 _LONGEST = max(map(len, _LEXICON))
 RUN = re.compile(r"[㐀-鿿豈-﫿々〇〻\U00020000-\U0002ffff]+|[ァ-ヺー]+|[ｦ-ﾟ]+|[A-Za-z][A-Za-z0-9_-]*|[0-9０-９]+|[^\s\w]+|\w")
+PLAIN = re.compile(r"([A-Za-z][A-Za-z0-9_-]*)([.,!?:;]?)")
 SPLIT_KANJI = re.compile(r"[㐀-鿿豈-﫿々]")
 AFTER_END = {"が": "接続助詞", "から": "接続助詞", "と": "接続助詞"}
 
 
+#: Letters of a run without blanks whose tokens are remembered, and how far from the ends long kanji runs are cut.
+SHORT, NEAR = 24, 8
+
+
 class Builtin:
     """Least-cost path; costs rest on word classes and on a few neighbours that can't be."""
 
     def segment(self, text: str) -> list[Token]:
         out: list[Token] = []
         for m in re.finditer(r"\S+", text):
-            out += [t._replace(start=t.start + m.start(), end=t.end + m.start()) for t in _path(m[0])]
+            at, word = m.start(), m[0]
+            if plain := PLAIN.fullmatch(word):  # nothing in the lexicon begins with such a letter
+                end = at + plain.end(1)
+                out.append(Token(plain[1], at, end, "名詞", "一般"))
+                if not (word := plain[2]):
+                    continue
+                at = end
+            out += [tuple.__new__(Token, (t[0], t[1] + at, t[2] + at, *t[3:])) for t in (_short(word) if len(word) <= SHORT else _path(word))]
         return out
 
 
@@ -218,6 +230,10 @@ def _join(a: tuple[str, ...] | None, b: tuple[str, ...]) -> int:
 
 
 @lru_cache(maxsize=20_000)
+def _short(text: str) -> list[Token]:
+    return _path(text)
+
+
 def _path(text: str) -> list[Token]:
     n = len(text)
     best: list[list[tuple[int, int, int, tuple[str, ...] | None]]] = [[] for _ in range(n + 1)]  # cost, from, index there, features
@@ -232,7 +248,13 @@ def _path(text: str) -> list[Token]:
         kind = ("記号", "一般") if not re.match(r"\w", run) else ("名詞", "一般")
         if kind[0] == "記号":
             kind = ("記号", "括弧開") if run == "(" else ("記号", "括弧閉") if run == ")" else ("名詞", "サ変接続")
-        for size in range(1, len(run) + 1) if kanji else [len(run)]:
+        if not kanji:
+            sizes = [len(run)]
+        elif len(run) <= 2 * NEAR:
+            sizes = range(1, len(run) + 1)
+        else:  # longer runs are cut near their ends only
+            sizes = [*range(1, NEAR + 1), *range(len(run) - NEAR, len(run) + 1)]
+        for size in sizes:
             hiragana = "ぁ" <= run[0] <= "ゖ"
             cost = 60 if hiragana else 22 + (abs(size - 2) * 3 if kanji else 0)
             edges.append((size, cost, (*kind, "*", "*", "*", "*", "*", "*", "*")))

@@ -15,15 +15,13 @@ from pyspark.sql import functions as F
 from sumire.functions.markdown import Document, utf16
 from sumire.functions.sentences import split
 from sumire.functions.tokens import Builtin, Morphology, tokenize
-from sumire.operators.rules import apply_fixes, fix_text, lint_text
+from sumire.operators.rules import Memo, apply_fixes, fix_text, lint_text
 from sumire.plans.config import Config
 
 FIX = "struct<range:array<int>,text:string>"
 DIAGNOSTIC = f"struct<rule:string,severity:string,message:string,line:int,column:int,endLine:int,endColumn:int,range:array<int>,fix:{FIX}>"
 BLOCK = "struct<block_idx:int,kind:string,text:string,in_blockquote:boolean,segments:array<struct<text_start:int,text_end:int,src_start:int,src_end:int,kind:string,in_link:boolean,url_link:boolean,in_emphasis:boolean,in_strong:boolean>>,sentences:array<struct<s_start:int,s_end:int>>>"
 TOKEN = "struct<surface:string,t_start:int,t_end:int,pos:string,pd1:string,pd2:string,pd3:string,ctype:string,cform:string,base:string,reading:string,pron:string>"
-#: Texts whose tokens a task remembers, as copies are common.
-REMEMBERED = 20_000
 
 
 def _arrow(df: DataFrame, column: str, added: str, work) -> DataFrame:
@@ -49,11 +47,9 @@ def lint(df: DataFrame, config: Config | None = None, backend: Morphology | None
     config = (config or Config()).checked()
 
     def work():
-        memo: dict = {}
+        memo = Memo()
 
         def call(text: str) -> list[dict]:
-            if len(memo) > REMEMBERED:
-                memo.clear()
             return lint_text(text, config, backend, memo)
 
         return call
@@ -117,13 +113,11 @@ def tokens(df: DataFrame, column: str = "text", backend: Morphology | None = Non
     """df with tokens of a text column. Distinct texts go through the analyser once a task."""
 
     def work():
-        memo: dict = {}
+        memo = Memo()
         own = backend or Builtin()
 
         def call(text: str) -> list[dict]:
             if text not in memo:
-                if len(memo) > REMEMBERED:
-                    memo.clear()
                 memo[text] = [dict(zip(("surface", "t_start", "t_end", "pos", "pd1", "pd2", "pd3", "ctype", "cform", "base", "reading", "pron"), t, strict=True)) for t in tokenize(own, text)]
             return memo[text]
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from itertools import pairwise
 
 from sumire.functions.markdown import WHITE, Block, Document, utf16
@@ -23,6 +24,10 @@ SCOPES = {r: (ALL, False) for r in RULE_IDS} | {r: (PROSE, False) for r in ("sen
 SCOPES |= {r: (ALL, True) for r in ("no-zero-width-spaces", "no-invalid-control-character", "no-double-negative-ja", "ja-no-weak-phrase")}
 SCOPES |= {"ja-no-mixed-period": (PARAGRAPH, False), "no-mix-dearu-desumasu": (("Paragraph", "Heading", "ListItem"), False)}
 
+#: Rules that the built-in analyser's tokens can't meet in a text without kana or kanji.
+JAPANESE_ONLY = frozenset(("no-doubled-joshi", "no-doubled-conjunctive-particle-ga", "no-doubled-conjunction", "no-dropping-the-ra", "no-double-negative-ja", "ja-no-weak-phrase"))
+WORDY = re.compile(f"[{KANJI}ぁ-ゖァ-ヺ]")
+
 Report = tuple  # (start, end, message, fix as (start, end, text) or None)
 
 
@@ -32,6 +37,7 @@ class View:
     def __init__(self, block: Block, backend: Morphology, memo: dict[str, list[Token]]):
         self.block, self.text, self._backend, self._memo = block, block.text, backend, memo
         self._sentences: list[tuple[int, int]] | None = None
+        self._starts: list[int] | None = None
 
     @property
     def sentences(self) -> list[tuple[int, int]]:
@@ -46,7 +52,27 @@ class View:
         return found
 
     def of(self, sentence: tuple[int, int]) -> list[Token]:
-        return [t for t in self.tokens if sentence[0] <= t.start < sentence[1]]
+        """Tokens that start in the sentence."""
+        if self._starts is None:
+            self._starts = [t.start for t in self.tokens]
+        return self.tokens[bisect_left(self._starts, sentence[0]) : bisect_left(self._starts, sentence[1])]
+
+
+class Memo(dict):
+    """Tokens by text; emptied when the texts have more than LETTERS in all."""
+
+    LETTERS = 1_000_000
+
+    def __init__(self):
+        super().__init__()
+        self.letters = 0
+
+    def __setitem__(self, text: str, tokens: list[Token]) -> None:
+        if self.letters > self.LETTERS:
+            self.clear()
+            self.letters = 0
+        self.letters += len(text)
+        super().__setitem__(text, tokens)
 
 
 def sentence_length(v: View, c: Config, doc: Document) -> list[Report]:
@@ -134,6 +160,8 @@ def max_ten(v: View, c: Config, doc: Document) -> list[Report]:
     name, out = "max-ten", []
     most, strict, touten, kuten = c.number(name, "max", 3), c.flag(name, "strict", False), c.text(name, "touten", "、"), c.text(name, "kuten", "。")
     for s in v.sentences:
+        if v.text.count(touten, *s) <= most:
+            continue
         tokens = v.of(s)
         plain = [not (_bracket(t.pos, t.pd1) or t.surface in "()") for t in tokens]
         count, last = 0, None
@@ -170,7 +198,10 @@ def doubled_joshi(v: View, c: Config, doc: Document) -> list[Report]:
     name, out = "no-doubled-joshi", []
     gap, strict, allow = max(1, c.number(name, "min_interval", 1)), c.flag(name, "strict", False), c.strings(name, "allow")
     separators, commas = c.strings(name, "separatorCharacters", SEPARATORS), c.strings(name, "commaCharacters", COMMAS)
-    for s in v.sentences:
+    particles = [t.start for t in v.tokens if t.is_joshi]
+    for s in v.sentences if len(particles) > 1 else ():
+        if bisect_left(particles, s[1]) - bisect_left(particles, s[0]) < 2:
+            continue
         merged = _merged(v.of(s))
         counted = [(t, p) for t, p in merged if t.is_joshi or not strict and (_bracket(t.pos, t.pd1) or t.surface in separators or t.surface in commas and t.pos in ("名詞", "記号"))]
         groups: dict[tuple[str, ...], list[int]] = {}
@@ -198,6 +229,8 @@ def doubled_joshi(v: View, c: Config, doc: Document) -> list[Report]:
 def doubled_ga(v: View, c: Config, doc: Document) -> list[Report]:
     out = []
     for s in v.sentences:
+        if v.text.count("が", *s) < 2:
+            continue
         groups: list[list[Token]] = [[]]
         for t in v.of(s):
             if t.surface in c.strings("no-doubled-conjunctive-particle-ga", "separatorChars", SEPARATORS):
@@ -210,8 +243,9 @@ def doubled_ga(v: View, c: Config, doc: Document) -> list[Report]:
 
 def doubled_conjunction(v: View, c: Config, doc: Document) -> list[Report]:
     out, carried = [], None
-    for s in v.sentences:
-        found = [t for t in v.of(s) if t.pos == "接続詞" and not (t.start > s[0] and v.text[t.start - 1] in WHITE)]
+    every = [t for t in v.tokens if t.pos == "接続詞"]
+    for s in v.sentences if len(every) > 1 else ():
+        found = [t for t in every if s[0] <= t.start < s[1] and not (t.start > s[0] and v.text[t.start - 1] in WHITE)]
         if found:
             if carried == found[0].surface:
                 out.append((found[0].start, found[0].end, f"同じ接続詞（{found[0].surface}）が連続して使われています。", None))
@@ -349,16 +383,15 @@ BY_BLOCK = dict(
 
 
 def _line(doc: Document, at: int) -> int:
-    import bisect
-
-    return bisect.bisect_right(doc.line_starts, at)
+    return bisect_right(doc.line_starts, at)
 
 
 def lint_text(source: str, config: Config, backend: Morphology | None = None, memo: dict | None = None) -> list[dict]:
     """Diagnostics of a document in order of line, column and rule; equals keep the rules' order. Ranges are UTF-16."""
-    backend, memo = backend or Builtin(), {} if memo is None else memo
+    backend, memo = backend or Builtin(), Memo() if memo is None else memo
     doc = Document(source)
     views = [View(b, backend, memo) for b in doc.blocks]
+    wordy = [(n, v) for n, v in enumerate(views) if type(backend) is not Builtin or WORDY.search(v.text)]
     found: list[tuple[str, int | None, Report]] = []
     for name in RULE_IDS:
         if not config.enabled(name):
@@ -369,11 +402,10 @@ def lint_text(source: str, config: Config, backend: Morphology | None = None, me
             found += [(name, None, r) for r in missing_headings(views, config)]
         else:
             kinds, quoted = SCOPES[name]
-            found += [(name, n, r) for n, v in enumerate(views) if v.block.kind in kinds and (quoted or not v.block.quoted) for r in BY_BLOCK[name](v, config, doc)]
+            some = wordy if name in JAPANESE_ONLY else enumerate(views)
+            found += [(name, n, r) for n, v in some if v.block.kind in kinds and (quoted or not v.block.quoted) for r in BY_BLOCK[name](v, config, doc)]
     ascii_, size = source.isascii(), len(source)
     wide = [] if ascii_ else [i for i, ch in enumerate(source) if ch > "￿"]
-    from bisect import bisect_left
-
     u = lambda i: i + bisect_left(wide, i) if wide else i
     out = []
     for name, n, (start, end, message, fix) in found:
@@ -417,7 +449,7 @@ def apply_fixes(source: str, diagnostics: list[dict]) -> tuple[str, int]:
 
 def fix_text(source: str, config: Config, backend: Morphology | None = None, rounds: int = 10) -> tuple[str, int, list[dict]]:
     """The text after at most so many rounds of fixes, how many were applied, and what is left."""
-    memo: dict = {}
+    memo = Memo()
     found, total = lint_text(source, config, backend, memo), 0
     for _ in range(rounds):
         source, n = apply_fixes(source, found)
