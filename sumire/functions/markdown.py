@@ -35,13 +35,21 @@ def utf16(text: str) -> int:
 
 class Block:
     def __init__(self, kind: str, quoted: bool):
-        self.kind, self.quoted, self.text, self.segments = kind, quoted, "", []
+        self.kind, self.quoted, self.segments = kind, quoted, []
+        self._parts, self._size = [], 0
+
+    @property
+    def text(self) -> str:
+        if len(self._parts) > 1:
+            self._parts = ["".join(self._parts)]
+        return self._parts[0] if self._parts else ""
 
     def add(self, text: str, src: int, end: int, kind: str, flags: tuple = (False,) * 4, verbatim: bool = True) -> None:
         if not text:
             return
-        at, last = len(self.text), self.segments[-1] if self.segments else None
-        self.text += text
+        at, last = self._size, self.segments[-1] if self.segments else None
+        self._parts.append(text)
+        self._size += len(text)
         if last and verbatim and kind == "text" and last.verbatim and last.src_end == src and last[5:] == flags:
             self.segments[-1] = last._replace(end=at + len(text), src_end=end)
         else:
@@ -72,13 +80,21 @@ class Block:
         return s.src + pos - s.start if s.verbatim and s.start <= pos <= s.end else s.src_end
 
     def fix_range(self, start: int, end: int) -> tuple[int, int] | None:
-        for s in self.segments:
+        i = bisect.bisect_right(self.segments, start, key=lambda s: s.start)
+        for s in self.segments[max(i - 2, 0) : i]:
             if s.verbatim and s.start <= start and end <= s.end:
                 return s.src + start - s.start, s.src + end - s.start
         return None
 
     def slice_where(self, start: int, end: int, keep) -> str:
-        return "".join(self.text[max(s.start, start) : min(s.end, end)] for s in self.segments if s.start < end and s.end > start and keep(s))
+        first, text, out = max(bisect.bisect_right(self.segments, start, key=lambda s: s.start) - 1, 0), self.text, []
+        for i in range(first, len(self.segments)):
+            s = self.segments[i]
+            if s.start >= end:
+                break
+            if s.end > start and keep(s):
+                out.append(text[max(s.start, start) : min(s.end, end)])
+        return "".join(out)
 
     def last_content(self) -> int | None:
         return next((i for i in range(len(self.segments) - 1, -1, -1) if self.text[self.segments[i].start : self.segments[i].end].strip(WHITE)), None)
@@ -102,13 +118,15 @@ ROW, DELIMS = re.compile(r"(?<!\\)\|"), re.compile(r" {0,3}\|?[ \t]*:?-+:?[ \t]*
 REF = re.compile(r" {0,3}\[((?:[^\[\]\\]|\\.)+)\]:[ \t]*\n?[ \t]*(<[^<>\n]*>|\S+)(?:[ \t]+(?:\"[^\"]*\"|'[^']*'|\([^()]*\)))?[ \t]*(?:\n|$)")
 NOTE = re.compile(r" {0,3}\[\^[^\]\s]+\]:[ \t]*")
 TASK = re.compile(r"\[[ xX]\](?=[ \t])")
+#: Quotes and lists nested deeper than this are read as paragraphs.
+DEEPEST = 100
 
 Line = tuple  # (content, source offset of its first code point, offset behind its line end)
 
 
 class Document:
     def __init__(self, source: str):
-        self.source, self.blocks, self.refs = source, [], {}
+        self.source, self.blocks, self.refs, self.depth = source, [], {}, 0
         self.line_starts = [0, *(i + 1 for i, c in enumerate(source) if c == "\n")]
         lines, at = [], 0
         for raw in re.split(r"(?<=\n)|(?<=\r)(?!\n)", source):
@@ -139,6 +157,11 @@ class Document:
         return bool(m and (not in_paragraph or (text[m.end() :].strip() and (not m[2][0].isdigit() or m[2][:-1] == "1"))))
 
     def _walk(self, lines: list[Line], quoted: bool, items: int, tight: bool = False) -> None:
+        self.depth += 1
+        self._blocks(lines, quoted, items, tight, self.depth > DEEPEST)
+        self.depth -= 1
+
+    def _blocks(self, lines: list[Line], quoted: bool, items: int, tight: bool, flat: bool) -> None:
         i = 0
         while i < len(lines):
             text, src = lines[i]
@@ -158,12 +181,12 @@ class Document:
                 i += 1
             elif RULE.match(text):
                 i += 1
-            elif QUOTE.match(text):
+            elif not flat and QUOTE.match(text):
                 inner, i = self._quote(lines, i)
                 self._walk(inner, True, items)
-            elif ITEM.match(text):
+            elif not flat and ITEM.match(text):
                 i = self._list(lines, i, quoted, items)
-            elif m := NOTE.match(text):
+            elif not flat and (m := NOTE.match(text)):
                 inner = [(text[m.end() :], src + m.end())]
                 i += 1
                 while i < len(lines) and (not lines[i][0].strip() or lines[i][0].startswith("    ")) or i < len(lines) and lines[i][0].strip() and inner[-1][0].strip() and not self._starts(lines[i][0], True):
@@ -298,7 +321,7 @@ class Inline:
     def _scan(self) -> None:
         raw, i, text = self.raw, 0, 0
         brackets: list[tuple[int, bool]] = []
-        nodes = self.nodes
+        nodes, lone = self.nodes, set()
 
         def flush(to: int) -> None:
             if to > text:
@@ -328,8 +351,9 @@ class Inline:
                 nodes.append(["entity", i, j, unescape(m[0])])
             elif c == "`":
                 run = re.compile("`+").match(raw, i)[0]
-                m = re.compile(r"(?<!`)" + run + r"(?!`)").search(raw, i + len(run))
+                m = re.compile(r"(?<!`)" + run + r"(?!`)").search(raw, i + len(run)) if len(run) not in lone else None
                 if m is None:
+                    lone.add(len(run))
                     i += len(run)
                     continue
                 flush(i)
@@ -400,46 +424,49 @@ class Inline:
         flush(len(raw))
 
     def _emphasis(self, low: int) -> None:
-        nodes, i = self.nodes, low
-        while i < len(nodes):
+        """Pairs the delimiters from low on. Openers wait on a stack; below bottom no opener fits a closer of that kind."""
+        nodes, stack, bottom = self.nodes, [], {}
+        own = [i for i in range(low, len(nodes)) if nodes[i][0] == "delim"]
+        for i in own:
             n = nodes[i]
-            if n[0] != "delim" or not n[5]:
-                i += 1
-                continue
-            for k in range(i - 1, low - 1, -1):
-                o = nodes[k]
-                if o[0] == "delim" and o[3] == n[3] and o[4]:
-                    a, b = o[2] - o[1], n[2] - n[1]
-                    if n[3] == "~" and a != b or (o[5] or n[4]) and (a + b) % 3 == 0 and (a % 3 or b % 3):
-                        continue
-                    use = a if n[3] == "~" else 2 if a >= 2 and b >= 2 else 1
-                    name = "strike" if n[3] == "~" else "strong" if use == 2 else "emphasis"
-                    for x in range(k + 1, i):
-                        if nodes[x][0] == "delim":
-                            nodes[x] = ["text", nodes[x][1], nodes[x][2]]
-                    o[2] -= use
-                    n[1] += use
-                    nodes[i:i] = [["/" + name]]
-                    nodes[k + 1 : k + 1] = [[name]]
-                    i += 2
-                    if n[2] == n[1]:
-                        nodes[i] = ["none"]
-                    if o[2] == o[1]:
-                        nodes[k] = ["none"]
+            n += [[], []]  # what it closes, what it opens
+            while n[5] and n[2] > n[1]:
+                b = n[2] - n[1]
+                key = (n[3], n[4], b if n[3] == "~" else b % 3)
+                for k in range(len(stack) - 1, bottom.get(key, 0) - 1, -1):
+                    o = nodes[stack[k]]
+                    a = o[2] - o[1]
+                    if o[3] == n[3] and not (n[3] == "~" and a != b or (o[5] or n[4]) and (a + b) % 3 == 0 and (a % 3 or b % 3)):
+                        break
+                else:
+                    bottom[key] = len(stack)
                     break
-            else:
-                i += 1
-                continue
-            if nodes[i][0] == "none":
-                i += 1
-        for x in range(low, len(nodes)):
-            if nodes[x][0] == "delim":
-                nodes[x] = ["text", nodes[x][1], nodes[x][2]]
+                use = a if n[3] == "~" else 2 if a >= 2 and b >= 2 else 1
+                name = "strike" if n[3] == "~" else "strong" if use == 2 else "emphasis"
+                o[2] -= use
+                n[1] += use
+                o[7].append(name)
+                n[6].append(name)
+                del stack[k + (o[2] > o[1]) :]
+                for x in bottom:
+                    bottom[x] = min(bottom[x], k)
+            if n[4] and n[2] > n[1]:
+                stack.append(i)
+        for i in own:
+            nodes[i][0] = "done"
 
     def _emit(self, block: Block) -> None:
         depth = {"link": 0, "emphasis": 0, "strong": 0, "strike": 0}
         dest, url, at = "", False, lambda i: self.pos[i] if i < len(self.pos) else (self.pos[-1] if self.pos else 0)
+        nodes: list[list] = []
         for n in self.nodes:
+            if n[0] == "done":
+                nodes += [["/" + x] for x in n[6]]
+                nodes += [["text", n[1], n[2]]] if n[2] > n[1] else []
+                nodes += [[x] for x in reversed(n[7])]
+            else:
+                nodes.append(n)
+        for n in nodes:
             kind = n[0]
             if kind in depth:
                 depth[kind] += 1

@@ -236,37 +236,42 @@ def _short(text: str) -> list[Token]:
 
 def _path(text: str) -> list[Token]:
     n = len(text)
-    best: list[list[tuple[int, int, int, tuple[str, ...] | None]]] = [[] for _ in range(n + 1)]  # cost, from, index there, features
-    best[0] = [(0, -1, -1, None)]
+    # at each place the cheapest way to each kind of token: (cost, number, from, features there, own features)
+    best: list[dict[tuple[str, ...] | None, tuple]] = [{} for _ in range(n + 1)]
+    best[0][None] = (0, 0, -1, None, None)
+    number = 0
     for i in range(n):
         if not best[i]:
             continue
         edges = [(size, cost, f) for size in range(1, min(_LONGEST, n - i) + 1) for cost, f in _LEXICON.get(text[i : i + size], ())]
         m = RUN.match(text, i)
-        run = m[0] if m else text[i]
-        kanji = bool(SPLIT_KANJI.match(run))
-        kind = ("記号", "一般") if not re.match(r"\w", run) else ("名詞", "一般")
+        length, head = (m.end() - i, text[i]) if m else (1, text[i])
+        kanji = bool(SPLIT_KANJI.match(head))
+        kind = ("記号", "一般") if not re.match(r"\w", head) else ("名詞", "一般")
         if kind[0] == "記号":
-            kind = ("記号", "括弧開") if run == "(" else ("記号", "括弧閉") if run == ")" else ("名詞", "サ変接続")
+            kind = ("記号", "括弧開") if text[i : i + length] == "(" else ("記号", "括弧閉") if text[i : i + length] == ")" else ("名詞", "サ変接続")
         if not kanji:
-            sizes = [len(run)]
-        elif len(run) <= 2 * NEAR:
-            sizes = range(1, len(run) + 1)
+            sizes = [length]
+        elif length <= 2 * NEAR:
+            sizes = range(1, length + 1)
         else:  # longer runs are cut near their ends only
-            sizes = [*range(1, NEAR + 1), *range(len(run) - NEAR, len(run) + 1)]
+            sizes = [*range(1, NEAR + 1), *range(length - NEAR, length + 1)]
+        guess = (*kind, "*", "*", "*", "*", "*", "*", "*")
         for size in sizes:
-            hiragana = "ぁ" <= run[0] <= "ゖ"
-            cost = 60 if hiragana else 22 + (abs(size - 2) * 3 if kanji else 0)
-            edges.append((size, cost, (*kind, "*", "*", "*", "*", "*", "*", "*")))
+            edges.append((size, 60 if "ぁ" <= head <= "ゖ" else 22 + (abs(size - 2) * 3 if kanji else 0), guess))
+        ways = list(best[i].values())
         for size, cost, f in edges:
-            got = min((c + cost + _join(g, f), k) for k, (c, _, _, g) in enumerate(best[i]))
-            best[i + size].append((got[0], i, got[1], f))
+            c, _, g = min((c + cost + _join(g, f), k, g) for c, k, _, _, g in ways) if len(ways) > 1 else (ways[0][0] + cost + _join(ways[0][4], f), 0, ways[0][4])
+            number += 1
+            old = best[i + size].get(f)
+            if old is None or c < old[0]:
+                best[i + size][f] = (c, number, i, g, f)
     out: list[Token] = []
-    at, k = n, min(range(len(best[n])), key=lambda x: best[n][x][0]) if best[n] else 0
-    while at > 0:
-        _, before, j, f = best[at][k]
+    at, f = n, min(best[n].values(), key=lambda w: w[:2])[4] if best[n] else None
+    while at > 0 and f is not None:
+        _, _, before, g, _ = best[at][f]
         out.append(Token(text[before:at], before, at, *f))
-        at, k = before, j
+        at, f = before, g
     out.reverse()
     for x in range(1, len(out)):
         t = out[x]

@@ -208,3 +208,41 @@ def test_refused_configurations(own):
 def test_matchers():
     assert matcher("") is None and matcher("a.b").search("a.b") and not matcher("a.b").search("axb")
     assert matcher("/a.b/s").search("a\nb") and not matcher("/a.b/").search("a\nb") and matcher("/x").search("/x")
+
+
+@pytest.mark.parametrize(
+    "source",
+    ["> " * 2000 + "x", "- " * 2000 + "x", "\n".join("  " * i + "- x" for i in range(300)), "*_" * 3000 + "x" + "_*" * 3000, "~~a" * 5000, "[" * 20000, "[a](b" * 5000, " ".join("`" * (i % 90 + 1) for i in range(3000)), "a b。\n" * 10000, "漢" * 20000, "あ" * 20000, "「" * 20000, "|" * 20000, "\\*" * 20000],
+)
+def test_odd_sources_take_linear_time(source):
+    import time
+
+    began = time.process_time()
+    lint_text(source, Config())
+    assert time.process_time() - began < 20
+
+
+@pytest.mark.parametrize(
+    ("source", "flags"),
+    [
+        ("*a* b", [("a", "e"), (" b", "")]),
+        ("**a *b* c** d", [("a ", "s"), ("b", "es"), (" c", "s"), (" d", "")]),
+        ("***a** b* c", [("a", "es"), (" b", "e"), (" c", "")]),
+        ("*a **b", [("*a **b", "")]),
+        ("_a_b_ c", [("a_b", "e"), (" c", "")]),
+        ("a*b*c", [("a", ""), ("b", "e"), ("c", "")]),
+        ("~~a~~ b", [("a b", "")]),
+        ("*a [b*c](u)*", [("a ", "e"), ("b*c", "el")]),
+    ],
+)
+def test_inline(source, flags):
+    got: list[tuple[str, str]] = []
+    (b,) = Document(source).blocks
+    for s in b.segments:
+        mark = "e" * s.in_emphasis + "s" * s.in_strong + "l" * s.in_link
+        text = b.text[s.start : s.end]
+        if got and got[-1][1] == mark:
+            got[-1] = (got[-1][0] + text, mark)
+        else:
+            got.append((text, mark))
+    assert got == flags
