@@ -38,6 +38,13 @@ def utf16_length(text: Column) -> Column:
     return F.char_length(text) + F.regexp_count(text, F.lit(r"[\x{10000}-\x{10FFFF}]"))
 
 
+def count(text: Column, name: str) -> Column:
+    """How many findings a rule has in a text."""
+    if name == "max-kanji-continuous-len":
+        return F.size(F.filter(F.regexp_extract_all(text, F.lit(KANJI), 0), lambda m: utf16_length(m) > 6))
+    return F.regexp_count(text, F.lit(RULES[name]))
+
+
 def rule(df: DataFrame, name: str, text: str = "text", most: int = 6) -> DataFrame:
     """df's columns but the text, and (start, surface) of each of a rule's findings; rows that can't have one leave before the generator."""
     pattern = RULES[name]

@@ -72,6 +72,26 @@ def max_comma(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sentences(spark, sf_dir).select("doc_id", "nth", n.alias("commas"), last.cast("long").alias("last")).where("commas > 3")
 
 
+def _word(word: str, more: Callable[[DataFrame], DataFrame] = lambda d: d) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Places of a literal word, on built-in functions."""
+        d = _table(spark, sf_dir, "documents").where(F.contains("text", F.lit(word)))
+        found = d.select("doc_id", F.explode(native.spots(F.col("text"), word)).alias("f"))
+        return more(found.select("doc_id", F.col("f.start").cast("long").alias("start"), F.col("f.surface").alias("surface")))
+
+    return run
+
+
+rule_forbidden = _word("worthless")
+rule_terminology = _word("Licensed", lambda d: d.withColumn("fix", F.lit("licensed")))
+
+
+def native_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of each character rule, in one scan and one aggregate."""
+    each = F.array(*[F.struct(F.lit(r).alias("rule"), native.count(F.col("text"), r).cast("long").alias("k")) for r in native.RULES])
+    return _docs(spark, sf_dir).select("doc_id", F.explode(each).alias("e")).groupBy("e.rule").agg(F.sum("e.k").alias("n"), F.count_if(F.col("e.k") > 0).alias("n_documents"))
+
+
 def lint_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lint.findings(documents(spark, sf_dir))
 
@@ -154,10 +174,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         scan_documents, utf16_length, lint_documents, lint_conversations, lint_benchmark, rule_terms, summary_by_rule, gate_summary, missing_headings, deleted_signs,
-        fix_documents, rewritten_documents, markdown_blocks, text_dedup_tokens, token_dump, text_report, json_report, foreign_report,
+        native_summary, fix_documents, rewritten_documents, markdown_blocks, text_dedup_tokens, token_dump, text_report, json_report, foreign_report,
     )
 }
-QUERIES |= {"sentence_split": _sentences, "rule_sentence_length": sentence_length, "rule_max_comma": max_comma}
+QUERIES |= {"rule_forbidden": rule_forbidden, "rule_terminology": rule_terminology, "sentence_split": _sentences, "rule_sentence_length": sentence_length, "rule_max_comma": max_comma}
 QUERIES |= {"rule_" + r.replace("-", "_"): _rule(r) for r in NATIVE}
 
 
@@ -186,6 +206,11 @@ def _single(test: str) -> str:
     return f"{_CHARS} SELECT doc_id, i AS start, c AS surface FROM x WHERE {test}"
 
 
+def _literal(word: str, more: str = "") -> str:
+    gaps = f"SELECT doc_id, string_split(text, '{word}') AS g, unnest(range(1, len(string_split(text, '{word}')))) AS i FROM documents"
+    return f"SELECT doc_id, CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + (i - 1) * {len(word)} AS BIGINT) AS start, '{word}' AS surface{more} FROM ({gaps})"
+
+
 _KANJI = "(unicode(c) IN (12293, 12295, 12347) OR unicode(c) BETWEEN 13312 AND 40959 OR unicode(c) BETWEEN 63744 AND 64255 OR unicode(c) BETWEEN 131072 AND 196607)"
 _WHITE = "(unicode({}) BETWEEN 9 AND 13 OR unicode({}) IN (32, 133, 160, 5760, 8232, 8233, 8239, 8287, 12288) OR unicode({}) BETWEEN 8192 AND 8202)"
 _W = lambda c: _WHITE.replace("{}", c)
@@ -212,3 +237,7 @@ SQL = {
     "deleted_signs": f"WITH {_D}, f AS (SELECT doc_id, text, regexp_replace(text, '[\\x{{200B}}\\x{{0}}-\\x{{8}}\\x{{B}}\\x{{C}}\\x{{E}}-\\x{{1F}}\\x{{7F}}-\\x{{9F}}]', '', 'g') AS fixed FROM d) SELECT CAST(doc_id AS VARCHAR) AS path, sha256(fixed) AS fixed_sha256, length(text) - length(fixed) AS applied FROM f",
     "missing_headings": "SELECT CAST(doc_id AS VARCHAR) AS path, CAST(1 AS INT) AS line, CAST(1 AS INT) AS \"column\", '必須の見出し \"概要\" がありません。' AS message FROM documents WHERE NOT regexp_matches(text, '(?m)^ {0,3}#+[ \\t]+概要')",
 }
+SQL |= {"rule_forbidden": _literal("worthless"), "rule_terminology": _literal("Licensed", ", 'licensed' AS fix")}
+_EACH = " UNION ALL ".join(f"SELECT '{r}' AS rule, doc_id, count(*) AS k FROM ({SQL['rule_' + r.replace('-', '_')]}) GROUP BY doc_id" for r in NATIVE)
+_NAMES = ", ".join(f"('{r}')" for r in NATIVE)
+SQL["native_summary"] = f"SELECT rule, CAST(coalesce(sum(k), 0) AS BIGINT) AS n, count(k) AS n_documents FROM (VALUES {_NAMES}) v(rule) LEFT JOIN ({_EACH}) USING (rule) GROUP BY rule"
