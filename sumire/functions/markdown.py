@@ -30,7 +30,7 @@ class Segment(NamedTuple):
 
 
 def utf16(text: str) -> int:
-    return len(text) + sum(c > "\uffff" for c in text) if not text.isascii() else len(text)
+    return len(text) if text.isascii() else len(text.encode("utf-16-le", "surrogatepass")) // 2
 
 
 class Block:
@@ -127,7 +127,7 @@ Line = tuple  # (content, source offset of its first code point, offset behind i
 class Document:
     def __init__(self, source: str):
         self.source, self.blocks, self.refs, self.depth = source, [], {}, 0
-        self.line_starts = [0, *(i + 1 for i, c in enumerate(source) if c == "\n")]
+        self.line_starts = [0, *(m.end() for m in re.finditer("\n", source))]
         lines, at = [], 0
         for raw in re.split(r"(?<=\n)|(?<=\r)(?!\n)", source):
             if raw:
@@ -300,6 +300,7 @@ class Document:
         Inline(self, block, lines)
 
 
+SIGNS = re.compile(r"[\\&`<*_~\[\]!\n]")
 ESCAPE, ENTITY = re.compile(r"\\([!-/:-@\[-`{-~])"), re.compile(r"&(?:#[xX][0-9a-fA-F]{1,6}|#[0-9]{1,7}|[A-Za-z][A-Za-z0-9]*);")
 AUTO, TAG = re.compile(r"<([A-Za-z][A-Za-z0-9+.-]{1,31}:[^\s<>]*|[\w.!#$%&'*+/=?^`{|}~-]+@[\w.-]+)>"), re.compile(r"<(?:[A-Za-z][\w-]*(?:\s+[\w:.-]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'=<>`]+))?)*\s*/?|/[A-Za-z][\w-]*\s*|!--.*?--|\?.*?\?|![A-Za-z][^>]*)>", re.S)
 DEST = re.compile(r"\(\s*(<[^<>\n]*>|(?:[^\s()\\]|\\.|\((?:[^\s()\\]|\\.)*\))*)(?:\s+(?:\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|\((?:[^()\\]|\\.)*\)))?\s*\)", re.S)
@@ -328,11 +329,10 @@ class Inline:
                 nodes.append(["text", text, to])
 
         while i < len(raw):
-            c = raw[i]
-            j = i + 1
-            if c not in "\\&`<*_~[]!\n":
-                i = j
-                continue
+            if not (sign := SIGNS.search(raw, i)):
+                break
+            i = sign.start()
+            c, j = raw[i], i + 1
             if c == "\n":
                 a = len(raw[:i].rstrip(" ")) if raw[i - 1 : i] == " " else i
                 flush(max(a, text))

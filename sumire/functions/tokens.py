@@ -153,7 +153,8 @@ def _fill() -> None:
 _fill()
 _LONGEST = max(map(len, _LEXICON))
 RUN = re.compile(r"[㐀-鿿豈-﫿々〇〻\U00020000-\U0002ffff]+|[ァ-ヺー]+|[ｦ-ﾟ]+|[A-Za-z][A-Za-z0-9_-]*|[0-9０-９]+|[^\s\w]+|\w")
-PLAIN = re.compile(r"([A-Za-z][A-Za-z0-9_-]*)([.,!?:;]?)")
+#: A word between blanks: a plain one, perhaps with a mark behind it, or any other.
+WORD, NOUN = re.compile(r"(?<!\S)([A-Za-z][A-Za-z0-9_-]*)([.,!?:;]?)(?!\S)|\S+"), ("名詞", "一般", *"*******")
 SPLIT_KANJI = re.compile(r"[㐀-鿿豈-﫿々]")
 AFTER_END = {"が": "接続助詞", "から": "接続助詞", "と": "接続助詞"}
 
@@ -167,15 +168,18 @@ class Builtin:
 
     def segment(self, text: str) -> list[Token]:
         out: list[Token] = []
-        for m in re.finditer(r"\S+", text):
-            at, word = m.start(), m[0]
-            if plain := PLAIN.fullmatch(word):  # nothing in the lexicon begins with such a letter
-                end = at + plain.end(1)
-                out.append(Token(plain[1], at, end, "名詞", "一般"))
-                if not (word := plain[2]):
+        add, make = out.append, tuple.__new__
+        for m in WORD.finditer(text):
+            at, plain = m.start(), m[1]
+            if plain is None:
+                word = m[0]
+            else:  # nothing in the lexicon begins with such a letter
+                end = m.end(1)
+                add(make(Token, (plain, at, end, *NOUN)))
+                if not (word := m[2]):
                     continue
                 at = end
-            out += [tuple.__new__(Token, (t[0], t[1] + at, t[2] + at, *t[3:])) for t in (_short(word) if len(word) <= SHORT else _path(word))]
+            out += [make(Token, (t[0], t[1] + at, t[2] + at, *t[3:])) for t in (_short(word) if len(word) <= SHORT else _path(word))]
         return out
 
 

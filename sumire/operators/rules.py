@@ -198,7 +198,7 @@ def doubled_joshi(v: View, c: Config, doc: Document) -> list[Report]:
     name, out = "no-doubled-joshi", []
     gap, strict, allow = max(1, c.number(name, "min_interval", 1)), c.flag(name, "strict", False), c.strings(name, "allow")
     separators, commas = c.strings(name, "separatorCharacters", SEPARATORS), c.strings(name, "commaCharacters", COMMAS)
-    particles = [t.start for t in v.tokens if t.is_joshi]
+    particles = [t.start for t in v.tokens if t.pos[:2] == "助詞"]
     for s in v.sentences if len(particles) > 1 else ():
         if bisect_left(particles, s[1]) - bisect_left(particles, s[0]) < 2:
             continue
