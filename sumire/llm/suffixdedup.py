@@ -3,7 +3,8 @@
 Sorting all suffixes of a corpus in one place is out of the question, so it is first cut into parts that can be merged
 alone: of every LENGTH-byte string its least K-byte run by hash (the leftmost of equals) is its anchor, and equal strings have
 equal anchors. Anchors seen in one document only are dropped; the rest go, with the bytes of the strings that they
-anchor, to buckets by hash. A bucket merges the transforms of its contexts by interleave refinement.
+anchor, to buckets by hash. A bucket merges the transforms of its contexts by interleave refinement. Anchors of more than HOT
+occurrences would make their buckets grow with the corpus: their windows are minimum-aggregated by hash instead.
 """
 
 from __future__ import annotations
@@ -12,15 +13,18 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import parts, table
+from ._shared import Scratch, parts, table
 from .anchors import grams, sliding
 
 LENGTH, K = 50, 20
 #: Bytes of text in a chunk of documents, and for each bucket of anchors.
 CHUNK, BUCKET = 2 << 20, 2 << 20
+#: An anchor that occurs more often isn't gathered: its windows are aggregated one by one.
+HOT = 1 << 16
 WIDE = 2 * LENGTH - K  # bytes of a context at most
 
 
@@ -95,34 +99,40 @@ def _cuts(sorted_keys: np.ndarray) -> list[tuple[int, int, int]]:
 
 def _seen(buckets: int):
     def run(rows: pa.Table) -> pa.Table:
-        """A chunk's keys, by bucket: those in one of its documents, and those in several."""
+        """A chunk's keys, by bucket: those in one of its documents, and those in several with how often they occur (65,535 at most)."""
         c = _chunk(rows, buckets)
         order = np.lexsort((c.doc, c.key))
         key, doc = c.key[order], c.doc[order]
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
         last = np.concatenate([first[1:] - 1, [len(key) - 1]]) if len(key) else first
-        many = doc[first] != doc[last]
+        many, often = doc[first] != doc[last], np.minimum(last - first + 1, 0xFFFF).astype("<u2")
         key = key[first]
-        out = [(b, key[i:j].astype("<u4")[~many[i:j]].tobytes(), key[i:j].astype("<u4")[many[i:j]].tobytes()) for b, i, j in _cuts(key)]
+        out = [(b, key[i:j].astype("<u4")[~many[i:j]].tobytes(), key[i:j].astype("<u4")[many[i:j]].tobytes(), often[i:j][many[i:j]].tobytes()) for b, i, j in _cuts(key)]
         chunk = rows["chunk"][0].as_py()
-        return pa.table({"bucket": pa.array([r[0] for r in out], pa.int64()), "chunk": pa.array([chunk] * len(out), pa.int64()), "once": pa.array([r[1] for r in out], pa.binary()), "many": pa.array([r[2] for r in out], pa.binary())})
+        return pa.table({"bucket": pa.array([r[0] for r in out], pa.int64()), "chunk": pa.array([chunk] * len(out), pa.int64())} | {n: pa.array([r[i] for r in out], pa.binary()) for i, n in enumerate(("once", "many", "often"), 1)})
 
     return run
 
 
 def _shared_keys(rows: pa.Table) -> pa.Table:
-    """For each chunk the keys of this bucket that are in several documents."""
-    once, many = rows["once"].to_pylist(), rows["many"].to_pylist()
-    u, n = np.unique(_u([*once, *many], "<u4"), return_counts=True)
-    keep = np.union1d(u[n > 1], _u(many, "<u4"))
+    """For each chunk the keys of this bucket that are in several documents, those of more than HOT occurrences apart."""
+    once, many, often = (rows[n].to_pylist() for n in ("once", "many", "often"))
+    flat = _u([*once, *many], "<u4")
+    u, at = np.unique(flat, return_inverse=True)
+    single = sum(map(len, once)) // 4
+    times = np.bincount(at, np.concatenate([np.ones(single), _u(often, "<u2")]), len(u))
+    shared = np.bincount(at, minlength=len(u)) > 1
+    shared[at[single:]] = True
+    hot = shared & (times > HOT)
     out = []
     for chunk, a, b in zip(rows["chunk"].to_pylist(), once, many, strict=True):
         own = _u([a, b], "<u4")
-        own = own[np.isin(own, keep)]
-        if len(own):
-            out.append((chunk, own.tobytes()))
+        place = np.searchsorted(u, own)
+        keys, most = own[(shared & ~hot)[place]], own[hot[place]]
+        if len(keys) or len(most):
+            out.append((chunk, keys.tobytes(), most.tobytes() if len(most) else None))
     bucket = rows["bucket"][0].as_py()
-    return pa.table({"chunk": pa.array([r[0] for r in out], pa.int64()), "bucket": pa.array([bucket] * len(out), pa.int64()), "keys": pa.array([r[1] for r in out], pa.binary())})
+    return pa.table({"chunk": pa.array([r[0] for r in out], pa.int64()), "bucket": pa.array([bucket] * len(out), pa.int64()), "keys": pa.array([r[1] for r in out], pa.binary()), "hot": pa.array([r[2] for r in out], pa.binary())})
 
 
 def _keys(buckets: list[int], blobs: list[bytes]) -> np.ndarray:
@@ -155,6 +165,40 @@ def _contexts(buckets: int):
     return run
 
 
+WINDOWS = "bucket long, hkey long, place int, h long, chunk long, hnth long, hj int, least long, most long"
+
+
+def _windows(buckets: int):
+    def run(docs: pa.Table, shared: pa.Table) -> pa.Table:
+        """Each window of a chunk's distinct contexts of hot anchors: its anchor and place in it, its hash, and the least and most doc_id."""
+        cut: list[np.ndarray] = [np.zeros(0, np.int64)] * 9
+        if docs.num_rows and shared.num_rows:
+            c = _chunk(docs, buckets)
+            at = np.flatnonzero(np.isin(c.key, _keys(shared["bucket"].to_pylist(), shared["hot"].to_pylist())))
+            rows, nth, own = c.classes(at)
+            least, most = np.full(len(rows), np.iinfo(np.int64).max), np.full(len(rows), np.iinfo(np.int64).min)
+            np.minimum.at(least, own, c.doc[at])
+            np.maximum.at(most, own, c.doc[at])
+            key = np.ascontiguousarray(rows[:, :8]).view(">u8").ravel().astype(np.uint64)
+            size = rows[:, 9].astype(np.int64)
+            h = grams(rows[:, 10:][np.arange(WIDE) < size[:, None]], LENGTH).view(np.int64)
+            w = size - LENGTH + 1
+            cls = np.repeat(np.arange(len(rows)), w)
+            j = np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w)
+            cut = [(key >> np.uint64(32))[cls], (key & np.uint64(0xFFFFFFFF))[cls], rows[:, 8].astype(np.int64)[cls] - j, h[(np.cumsum(size) - size)[cls] + j], np.full(len(cls), docs["chunk"][0].as_py()), nth[cls], j, least[cls], most[cls]]
+        kinds = {"int": np.int32, "long": np.int64}
+        return pa.table({f.split()[0]: x.astype(kinds[f.split()[1]]) for f, x in zip(WINDOWS.split(", "), cut, strict=True)})
+
+    return run
+
+
+def _of_hot(windows: DataFrame) -> DataFrame:
+    """Those windows that a document below the chunk's highest has, with the least such doc_id. Equal windows have one anchor and place; with these their hash has over 100 bits."""
+    names = ["bucket", "hkey", "place", "h"]
+    low = windows.groupBy(*names).agg(F.min("least").alias("hdoc"))
+    return windows.join(low.hint("merge"), names).where("hdoc < most").select("chunk", "bucket", "hkey", "hnth", "hj", "hdoc")
+
+
 def refine(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Merged order of the suffixes of the strings in text by depth symbols, and which of them have equal prefixes of that length.
 
@@ -260,15 +304,19 @@ def _covered(c: Chunk, runs: pa.Table) -> np.ndarray:
     """Which bytes of the chunk earlier documents have."""
     step = np.zeros(len(c.data) + 1, np.int32)
     if runs.num_rows and len(c.key):
-        blobs = {n: runs[n].to_pylist() for n in RUNS[2:]}
+        blobs = {n: [x or b"" for x in runs[n].to_pylist()] for n in RUNS[2:]}
         key = _keys(runs["bucket"].to_pylist(), blobs["keys"])
-        nth, first, last, doc = (_u(blobs[n], k) for n, k in (("nth", "<u4"), ("first", "u1"), ("last", "u1"), ("doc", "<i8")))
+        nth, first, last, doc = (_u(blobs[n], k).astype(np.int64) for n, k in (("nth", "<u4"), ("first", "u1"), ("last", "u1"), ("doc", "<i8")))
+        if len(single := runs.filter(pc.is_valid(runs["hkey"]))):
+            get = lambda n: single[n].to_numpy().astype(np.int64)
+            key = np.concatenate([key, ((get("bucket") << 32) | get("hkey")).astype(np.uint64)])
+            nth, first, last, doc = (np.concatenate([x, get(n)]) for x, n in ((nth, "hnth"), (first, "hj"), (last, "hj"), (doc, "hdoc")))
         at = np.flatnonzero(np.isin(c.key, key))
         rows, n_in_key, own = c.classes(at)
         whole = np.ascontiguousarray(rows[:, :8]).view(">u8").ravel().astype(np.uint64)
         cls = np.searchsorted(whole, key) + nth  # the first class of the key, and so many on
         order = np.argsort(cls, kind="stable")
-        cls, first, last, doc = cls[order], first[order].astype(np.int64), last[order].astype(np.int64), doc[order]
+        cls, first, last, doc = cls[order], first[order], last[order], doc[order]
         lo, hi = np.searchsorted(cls, own), np.searchsorted(cls, own, side="right")
         n = hi - lo
         who = np.repeat(np.arange(len(at)), n)
@@ -299,16 +347,23 @@ def _digest(buckets: int):
 
 def _planned(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     """Documents dealt into chunks by doc_id and text, the runs of their repeated windows by chunk, and how many buckets there are."""
+    scratch = Scratch(docs.sparkSession, "suffixes")
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     size = d.agg(F.sum(F.length("text"))).first()[0] or 0
     chunks, buckets = size // CHUNK + 1, size // BUCKET + 1
     d = d.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
-    d = d.repartition(max(parts(docs.sparkSession), min(chunks, 100_000)), "chunk")  # one exchange, used by all three passes
+    d = d.repartition(max(parts(docs.sparkSession), min(chunks, 100_000)), "chunk")  # one exchange, used by all passes
     by = d.groupBy("chunk")
-    shared = by.applyInArrow(_seen(buckets), "bucket long, chunk long, once binary, many binary").groupBy("bucket").applyInArrow(_shared_keys, "chunk long, bucket long, keys binary")
-    contexts = by.cogroup(shared.groupBy("chunk")).applyInArrow(_contexts(buckets), CONTEXTS)
+    seen = by.applyInArrow(_seen(buckets), "bucket long, chunk long, once binary, many binary, often binary")
+    shared = scratch.save(seen.groupBy("bucket").applyInArrow(_shared_keys, "chunk long, bucket long, keys binary, hot binary"))
+    contexts = by.cogroup(shared.select("chunk", "bucket", "keys").groupBy("chunk")).applyInArrow(_contexts(buckets), CONTEXTS)
     runs = contexts.groupBy("bucket").applyInArrow(_earlier, "chunk long, bucket long, keys binary, nth binary, first binary, last binary, doc binary")
-    return d, runs, buckets
+    most = shared.where("hot is not null").select("chunk", "bucket", "hot")
+    if most.isEmpty():
+        hot = docs.sparkSession.createDataFrame([], "chunk long, bucket long, hkey long, hnth long, hj int, hdoc long")
+    else:
+        hot = _of_hot(scratch.save(by.cogroup(most.groupBy("chunk")).applyInArrow(_windows(buckets), WINDOWS)))
+    return d, runs.unionByName(hot, allowMissingColumns=True), buckets
 
 
 def digest(docs: DataFrame) -> DataFrame:

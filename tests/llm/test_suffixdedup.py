@@ -58,7 +58,9 @@ def test_brute_force(spark, tables):
     assert got(suffixdedup.op6_suffix_array(spark, tables(documents=docs))) == expected(docs)
 
 
-def test_many_chunks_and_buckets(spark, tables, monkeypatch):
+@pytest.mark.parametrize("hot", [1 << 16, 20, 0])
+def test_many_chunks_and_buckets(spark, tables, monkeypatch, hot):
+    monkeypatch.setattr(suffixdedup, "HOT", hot)
     monkeypatch.setattr(suffixdedup, "CHUNK", 4000)
     monkeypatch.setattr(suffixdedup, "BUCKET", 3000)
     docs = made()
