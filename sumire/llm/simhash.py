@@ -91,24 +91,25 @@ def links(fps: DataFrame, scratch: Scratch, near: int = 3) -> DataFrame:
     """(a, b): links that span every group of distinct fp at near or fewer differing bits (near at most 3).
 
     Two halves of 32 bits: with 3 differing bits one half differs by at most one, so the two share
-    that half or one of its one-wildcard variants. A key's fingerprints are verified against each other
-    and leave the links of a spanning forest, fewer than there are fingerprints. A group of more than GROUP
-    is indexed once more by the quarters of its other half, of which again one differs by at most one bit;
-    such a group agrees in 47 bits, so it has 2^17 members at most.
+    that half or one of its one-wildcard variants. Keys are counted first, and those of one fingerprint dropped.
+    A key's fingerprints are verified against each other and leave the links of a spanning forest, fewer than there
+    are fingerprints. The members of a key of more than GROUP are never gathered: they are indexed once more by the
+    quarters of their other half, of which again one differs by at most one bit; such a group agrees in 47 bits
+    and more, so it has 2^18 members at most.
     """
     if near > 3:
         raise ValueError("two segments find pairs at 3 bits or fewer")
     low = F.lit(0xFFFFFFFF).cast("long")
     halves = [F.col("fp").bitwiseAND(low), F.shiftrightunsigned("fp", 32)]
     index = fps.select("fp", F.explode(F.array(*[k for i, h in enumerate(halves) for k in _variants(h, 32, i)])).alias("key"))
-    groups = scratch.save(index.groupBy("key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1))
+    crowds = scratch.save(index.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    index = scratch.save(index.join(crowds.hint("merge"), "key"))  # crowds grow with the documents
+    groups = index.where(F.col("n") <= GROUP).groupBy("key").agg(F.collect_list("fp").alias("fps")).select("fps")
     other = F.when(F.col("key") < F.shiftleft(F.lit(33).cast("long"), 32), F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp").bitwiseAND(low))
     short = F.lit(0xFFFF).cast("long")
-    again = groups.where(F.size("fps") > GROUP).select("key", F.explode("fps").alias("fp"))
-    again = again.select("key", "fp", F.explode(F.array(*_variants(other.bitwiseAND(short), 16, 0), *_variants(F.shiftrightunsigned(other, 16), 16, 1))).alias("sub"))
-    again = again.groupBy("key", "sub").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
-    both = groups.where(F.size("fps") <= GROUP).select("fps").unionByName(again.select("fps"))
-    return arrow_map(both, lambda: _links(near), "a long, b long")
+    again = index.where(F.col("n") > GROUP).select("key", "fp", F.explode(F.array(*_variants(other.bitwiseAND(short), 16, 0), *_variants(F.shiftrightunsigned(other, 16), 16, 1))).alias("sub"))
+    again = again.groupBy("key", "sub").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1).select("fps")
+    return arrow_map(groups.unionByName(again), lambda: _links(near), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, near: int = 3, width: int = 3) -> DataFrame:
