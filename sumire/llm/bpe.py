@@ -7,7 +7,6 @@ import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -26,7 +25,7 @@ _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", "\\t-\\r \\x85\\x
 LATIN = re.compile(rf" ?[{_L}]+|'(?:[stmd]|re|ve|ll)| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 BEYOND = re.compile("[^\x00-\xff]")
 #: Pieces whose ids a task remembers, twice: those seen of late and those before.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -73,6 +72,7 @@ class Bpe:
             self.shorter[i] = next((known[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in known), -1)
         self.fits: dict[tuple[int, int], bool] = {}
         self.names = [str(i) for i in range(top)]
+        self.kind = np.dtype("<u2" if top <= 1 << 16 else "<u4")
         self.pieces = regex.compile(PIECES)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")") if self.added else None
         self.memo = _Memo(self)
@@ -104,7 +104,7 @@ class Bpe:
                     if x == limit:
                         ok = True
                         break
-        if len(self.fits) > 1_000_000:
+        if len(self.fits) > 300_000:
             self.fits.clear()
         self.fits[a, b] = ok
         return ok
@@ -141,16 +141,19 @@ class Bpe:
                 break
         return tuple(out)
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> np.ndarray:
+        """Ids of a text."""
         if self.cut and any(a in text for a in self.added):
-            return [i for part in self.cut.split(text) if part for i in ([self.added[part]] if part in self.added else self._plain(part))]
-        return self._plain(text)
+            some = b"".join(np.array([self.added[part]], self.kind).tobytes() if part in self.added else self._plain(part) for part in self.cut.split(text) if part)
+        else:
+            some = self._plain(text)
+        return np.frombuffer(some, self.kind)
 
-    def _plain(self, text: str) -> list[int]:
+    def _plain(self, text: str) -> bytes:
         self.memo.age()
-        return list(chain.from_iterable(map(self.memo.__getitem__, (self.pieces if BEYOND.search(text) else LATIN).findall(text))))
+        return b"".join(map(self.memo.__getitem__, (self.pieces if BEYOND.search(text) else LATIN).findall(text)))
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: np.ndarray | list[int]) -> str:
         """The tokens' bytes, laid end to end from the offset table, as UTF-8 (bytes that aren't become U+FFFD)."""
         if not len(ids):
             return ""
@@ -165,15 +168,15 @@ class Bpe:
 
 
 class _Memo(dict):
-    """Ids by piece. When full it becomes the old half, from which pieces that are seen again come back."""
+    """Ids by piece, as bytes. When full it becomes the old half, from which pieces that are seen again come back."""
 
     def __init__(self, bpe: Bpe):
         self.bpe, self.old = bpe, {}
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
+    def __missing__(self, piece: str) -> bytes:
         out = self.old.get(piece)
         if out is None:
-            out = self.bpe.piece(piece.encode())
+            out = np.array(self.bpe.piece(piece.encode()), self.bpe.kind).tobytes()
         self[piece] = out
         return out
 
@@ -229,7 +232,7 @@ def decode(tokens: DataFrame, vocabulary: str | None = None, column: str = "ids"
 
 def _digest(bpe: Bpe, text: str) -> tuple[int, str, str]:
     ids = bpe.encode(text)
-    return len(ids), hashlib.sha256(",".join(map(bpe.names.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(bpe.decode(ids).encode()).hexdigest()
+    return len(ids), hashlib.sha256(",".join(map(bpe.names.__getitem__, ids.tolist())).encode()).hexdigest(), hashlib.sha256(bpe.decode(ids).encode()).hexdigest()
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
