@@ -150,39 +150,56 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+class Scanner:
+    """Looks for the windows of all blocks of items; one block alone is kept as an automaton, several are built in turn for each batch."""
+
+    def __init__(self, held: list, window: int):
+        self.held, self.window = held, window
+        self.machine = self._of(held[0].value) if len(held) == 1 else None
+
+    def _of(self, block: list[tuple[str, bytes]]) -> Automaton:
+        return Automaton([(name, words_of(x)) for name, x in block], self.window)
+
+    def scan(self, texts: list[bytes | None]) -> tuple[list[int], list[list[tuple[int, int]]], list[list[str]]]:
+        """For each text how many words it has, the merged spans of hit words, and the names of items with occurring windows."""
+        n, spans, names = [0] * len(texts), [[] for _ in texts], [set() for _ in texts]
+        for h in self.held or [None]:
+            m = self.machine or self._of(h.value if h else [])
+            for i, x in enumerate(texts):
+                words = words_of(x)
+                n[i] = len(words)
+                found, of = m.scan(words)
+                spans[i] += found
+                names[i] |= of
+        return n, [merge(s) for s in spans], [sorted(s) for s in names]
+
+
 def hits(docs: DataFrame, items: DataFrame, window: int = 13) -> DataFrame:
     """docs with __words long, __spans (merged spans of hit words, [from, to)) and __items (names of items with occurring windows, sorted), as the last three columns; they are named otherwise if docs has such columns.
 
     Items are a test set, whose bytes are read in blocks: each block is one broadcast of bounded size and
     one automaton in a task at a time. Null and empty texts have no words, spans or items.
     """
-    context = docs.sparkSession.sparkContext
-    held = [context.broadcast(b) for b in load_items(items)]
-    at = docs.columns.index("text")
+    held, at = _broadcast(docs, items), docs.columns.index("text")
     pair = T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
     added = fresh(docs, "__words", "__spans", "__items")
     schema = T.StructType([*docs.schema.fields, *map(T.StructField, added, (T.LongType(), pair, T.ArrayType(T.StringType())))])
     kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = Automaton([(name, words_of(x)) for name, x in held[0].value], window) if len(held) == 1 else None
+        scanner = Scanner(held, window)
         for b in batches:
-            texts = b.column(at).cast(pa.binary()).to_pylist()
-            n, spans, names = [0] * len(texts), [[] for _ in texts], [set() for _ in texts]
-            for h in held or [None]:
-                m = machine or Automaton([(name, words_of(x)) for name, x in h.value] if h else [], window)
-                for i, x in enumerate(texts):
-                    words = words_of(x)
-                    n[i] = len(words)
-                    found, of = m.scan(words)
-                    spans[i] += found
-                    names[i] |= of
-            made = [pa.array(n, pa.int64()), pa.array([[{"a": p, "b": q} for p, q in merge(s)] for s in spans], kind), pa.array([sorted(s) for s in names], pa.list_(pa.string()))]
+            n, spans, names = scanner.scan(b.column(at).cast(pa.binary()).to_pylist())
+            made = [pa.array(n, pa.int64()), pa.array([[{"a": p, "b": q} for p, q in s] for s in spans], kind), pa.array(names, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([*b.columns, *made], [*b.schema.names, *added])
 
     return docs.mapInArrow(run, schema)
 
 
+def _broadcast(docs: DataFrame, items: DataFrame) -> list:
+    return [docs.sparkSession.sparkContext.broadcast(b) for b in load_items(items)]
+
+
 def n_hit(spans: str) -> Column:
     return F.expr(f"aggregate(`{spans}`, 0L, (s, x) -> s + x.b - x.a)")
 
@@ -194,7 +211,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("contaminated", F.expr("n_hit > 0 and 20 * n_hit >= n_words"))
 
 
-def _cut(text: str, spans: list[dict]) -> str:
+def _cut(text: str, spans: list[tuple[int, int]]) -> str:
     """text without the bytes from the first to the last word of each span; all outside the spans stays."""
     raw = text.encode()
     clean = raw.translate(WORDS)
@@ -204,9 +221,9 @@ def _cut(text: str, spans: list[dict]) -> str:
         ends.append((at, at + len(w)))
         at += len(w)
     out, last = [], 0
-    for s in spans:
-        out.append(raw[last : ends[s["a"]][0]])
-        last = ends[s["b"] - 1][1]
+    for a, b in spans:
+        out.append(raw[last : ends[a][0]])
+        last = ends[b - 1][1]
     return b"".join([*out, raw[last:]]).decode()
 
 
@@ -215,20 +232,21 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, share: fl
 
     Columns stay; n_chars follows the text if there is such a column. Null and empty texts stay as they are.
     """
-    found = hits(docs, items, window)
-    n, spans, _ = found.columns[-3:]
-    found = found.where((n_hit(spans) == 0) | (n_hit(spans) * F.lit(1 / share) < F.col(n)))
-    at, names, schema = docs.columns.index("text"), docs.columns, docs.schema
+    held, at, names = _broadcast(docs, items), docs.columns.index("text"), docs.columns
+    many = 1 / share
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner = Scanner(held, window)
         for b in batches:
-            spans = b.column(len(names) + 1).to_pylist()
-            columns = list(b.columns[: len(names)])
-            if any(spans):
+            n, spans, _ = scanner.scan(b.column(at).cast(pa.binary()).to_pylist())
+            hit = [sum(q - p for p, q in s) for s in spans]
+            columns = list(b.columns)
+            if any(hit):
                 columns[at] = pa.array([_cut(x, s) if s else x for x, s in zip(columns[at].to_pylist(), spans, strict=True)], columns[at].type)
-            yield pa.RecordBatch.from_arrays(columns, names)
+            stay = pa.array([not h or h * many < k for h, k in zip(hit, n, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays(columns, names).filter(stay)
 
-    out = found.mapInArrow(run, schema)
+    out = docs.mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(out.schema["n_chars"].dataType)) if "n_chars" in names else out
 
 
