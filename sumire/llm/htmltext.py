@@ -41,6 +41,8 @@ ROOTS = frozenset(("html", "body", "article", "main"))
 NOISE = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising adsense banner banners sponsor sponsored sponsors promo promos promotion nav navbar navigation menu menus sidebar sidebars breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices popup popups modal overlay newsletter subscribe subscription signup login comment comments commentlist reply replies respond disqus related recommended recommendations share sharing social widget widgets toolbar pager pagination skip copyright disclaimer alert alerts toast".split()
 )
+#: In a class like has-sidebar or comments-open: it tells something about what holds the part, and doesn't name the part.
+ABOUT = frozenset("has with without no non open closed enabled disabled layout".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
 SPLIT = re.compile(r"[^a-z0-9]+")
 
@@ -58,7 +60,7 @@ def _node(tag: str, attrs: str, up: Node, memo: dict) -> Node:
     if (known := memo.get((tag, attrs))) is None:
         found = {k.lower(): v.strip("\"'").lower() for k, v in ATTR.findall(attrs)} if attrs else {}
         names = f"{found.get('class', '')} {found.get('id', '')}".strip()
-        tokens = set(SPLIT.split(names))
+        tokens = {t for name in names.split() if not (own := set(SPLIT.split(name))) & ABOUT for t in own}
         style = tag + ("." + re.sub(r"\d+", "#", " ".join(sorted(names.split()))) if names else "")
         noise = tag in NEVER or bool(tokens & NOISE) or found.get("role") in ROLES or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
         noise = noise or (tag == "header" or "header" in tokens) and not tokens & {"article", "entry", "post", "content", "title"} and None

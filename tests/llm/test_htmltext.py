@@ -21,6 +21,9 @@ CASES = [
     ("<p>5 < 6 and <b>bold</b>er<i> i</i></p>", "5 < 6 and bolder i"),
     ("<p>open <b>tag <script>never ends", "open tag"),
     ("<article><section class='related'>r</section><blockquote>q</blockquote><pre>p\n  q</pre></article>", "q\np q"),
+    ("<body class='has-sidebar'><article class='post comments-open'><p>x</p></article><article class='comment even'><p>c</p></article></body>", "x"),
+    ("<div class='wrap with-nav'><div class='main-nav'>n</div><p>x</p></div>", "x"),
+    ("<div class='cookie-notice'>n</div><div id='site-footer'>f</div><section id=comments><p>c</p></section><p>x &copy; y</p>", "x © y"),
     ("<p>" + "w " * 100_000 + "</p>", ("w " * 100_000).strip()),
     ("<b>" * 20_000 + "deep", "deep"),
     ("<div>" * 20_000 + "deep", "deep"),
