@@ -165,13 +165,14 @@ def _contexts(buckets: int):
     return run
 
 
-WINDOWS = "bucket long, hkey long, place int, h long, chunk long, hnth long, hj int, least long, most long"
+#: key holds bucket, place of the anchor in the window (5 bits) and the anchor's own 32 bits; at the context's number and the window's in it (6 bits).
+WINDOWS = "key long, h long, chunk long, at long, least long, most long"
 
 
 def _windows(buckets: int):
     def run(docs: pa.Table, shared: pa.Table) -> pa.Table:
         """Each window of a chunk's distinct contexts of hot anchors: its anchor and place in it, its hash, and the least and most doc_id."""
-        cut: list[np.ndarray] = [np.zeros(0, np.int64)] * 9
+        cut: list[np.ndarray] = [np.zeros(0, np.int64)] * 6
         if docs.num_rows and shared.num_rows:
             c = _chunk(docs, buckets)
             at = np.flatnonzero(np.isin(c.key, _keys(shared["bucket"].to_pylist(), shared["hot"].to_pylist())))
@@ -185,18 +186,19 @@ def _windows(buckets: int):
             w = size - LENGTH + 1
             cls = np.repeat(np.arange(len(rows)), w)
             j = np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w)
-            cut = [(key >> np.uint64(32))[cls], (key & np.uint64(0xFFFFFFFF))[cls], rows[:, 8].astype(np.int64)[cls] - j, h[(np.cumsum(size) - size)[cls] + j], np.full(len(cls), docs["chunk"][0].as_py()), nth[cls], j, least[cls], most[cls]]
-        kinds = {"int": np.int32, "long": np.int64}
-        return pa.table({f.split()[0]: x.astype(kinds[f.split()[1]]) for f, x in zip(WINDOWS.split(", "), cut, strict=True)})
+            place = rows[:, 8].astype(np.int64)[cls] - j
+            wide = (key >> np.uint64(32)).astype(np.int64)[cls] << 37 | place << 32 | (key & np.uint64(0xFFFFFFFF)).astype(np.int64)[cls]
+            cut = [wide, h[(np.cumsum(size) - size)[cls] + j], np.full(len(cls), docs["chunk"][0].as_py()), nth[cls] << 6 | j, least[cls], most[cls]]
+        return pa.table({f.split()[0]: x.astype(np.int64) for f, x in zip(WINDOWS.split(", "), cut, strict=True)})
 
     return run
 
 
 def _of_hot(windows: DataFrame) -> DataFrame:
     """Those windows that a document below the chunk's highest has, with the least such doc_id. Equal windows have one anchor and place; with these their hash has over 100 bits."""
-    names = ["bucket", "hkey", "place", "h"]
-    low = windows.groupBy(*names).agg(F.min("least").alias("hdoc"))
-    return windows.join(low.hint("merge"), names).where("hdoc < most").select("chunk", "bucket", "hkey", "hnth", "hj", "hdoc")
+    low = windows.groupBy("key", "h").agg(F.min("least").alias("hdoc"))
+    back = windows.join(low.hint("merge"), ["key", "h"]).where("hdoc < most")
+    return back.select("chunk", F.expr("shiftrightunsigned(key, 37)").alias("bucket"), F.expr("key & 4294967295").alias("hkey"), F.expr("shiftright(at, 6)").alias("hnth"), F.expr("CAST(at & 63 AS INT)").alias("hj"), "hdoc")
 
 
 def refine(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
