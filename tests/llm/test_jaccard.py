@@ -1,0 +1,52 @@
+from __future__ import annotations
+
+import random
+
+import pyarrow.parquet as pq
+import pytest
+
+from sumire.llm import jaccard, simhash
+from sumire.llm.simhash import fingerprint
+
+
+def plain(text: str | None) -> frozenset:
+    w = (text or "").lower().split()
+    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def alike(a: frozenset, b: frozenset) -> bool:
+    return 5 * len(a & b) >= 4 * len(a | b)
+
+
+@pytest.mark.parametrize("block", [4096, 7])
+def test_brute_force(spark, tables, union, sf_dir, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    t = pq.read_table(f"{sf_dir}/documents.parquet", columns=["doc_id", "text"]).to_pydict()
+    docs = list(zip(t["doc_id"], t["text"], strict=True))
+    rng, top = random.Random(3), max(t["doc_id"]) + 1
+    base = [f"w{rng.randrange(10**6)}" for _ in range(90)]
+    made = [None, "", " \t", "One two", "one  TWO", "one", " ".join(base)]
+    for n in (1, 1, 1, 1, 2, 2, 2, 3, 3, 4, 5, 6) * 3:
+        w = base.copy()
+        for k in rng.sample(range(90), n):
+            w[k] = f"x{rng.randrange(10**6)}"
+        made.append(" ".join(w))
+    docs += list(enumerate(made, top))
+    sets = [plain(x) for _, x in docs]
+    for n, (i, _) in enumerate(docs):
+        union.find(i)
+        for k in range(n):
+            if alike(sets[n], sets[k]):
+                union.link(i, docs[k][0])
+    got = jaccard.similar(spark.read.parquet(tables(documents=docs) + "/documents.parquet")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: union.find(i) for i, _ in docs} and len(got) == len(docs)
+
+
+def test_stage_drops_near_copies_of_more_than_three_bits(spark):
+    rng = random.Random(1)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    copy = [*words[:58], "other", "end"]
+    a, b = " ".join(words), " ".join(copy)
+    assert alike(plain(a), plain(b)) and (fingerprint(a.encode()) ^ fingerprint(b.encode())).bit_count() > 3
+    docs = spark.createDataFrame([(4, a), (9, b), (5, " ".join(words[:40]))], "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.stage_simhash(spark, docs, "").collect()) == [4, 5]
