@@ -38,9 +38,17 @@ SPACED = frozenset("br td th".split())
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 NEVER = frozenset("head nav footer aside form script style select button input textarea object canvas video audio map menu dialog datalist template".split())
 ROOTS = frozenset(("html", "body", "article", "main"))
+#: Words that name such a part as the first or last of a class or id.
+REGIONS = frozenset("adsense adverts advertisement advertisements nav navbar sidebar sidebars breadcrumb breadcrumbs footer masthead gdpr commentlist disqus pager pagination toolbar".split())
+#: Words that also occur in the names of subjects (social-science, market-share): all parts must be such words, or ones like box and list.
 NOISE = frozenset(
-    "ad ads adv advert adverts advertisement advertisements advertising adsense banner banners sponsor sponsored sponsors promo promos promotion nav navbar navigation menu menus sidebar sidebars breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices popup popups modal overlay newsletter subscribe subscription signup login comment comments commentlist reply replies respond disqus related recommended recommendations share sharing social widget widgets toolbar pager pagination skip copyright disclaimer alert alerts toast".split()
+    "ad ads adv advert advertising banner banners sponsor sponsored sponsors promo promos promotion navigation menu menus cookie cookies consent notice notices popup popups modal overlay newsletter subscribe subscription signup login comment comments reply replies respond related recommended recommendations share sharing social widget widgets skip copyright disclaimer alert alerts toast".split()
 )
+HELPERS = frozenset(
+    "area bar block body bottom box btn button buttons col column container content count form group header heading holder icon icons inner item items left link links list main media meta middle module outer page panel post posts articles right row section side site slot text thread title to top unit wrap wrapper".split()
+)
+#: Names with such words don't make these noise within an article.
+SPARED = frozenset("h1 h2 h3 h4 h5 h6 hgroup p".split())
 #: In a class like has-sidebar or comments-open: it tells something about what holds the part, and doesn't name the part.
 ABOUT = frozenset("has with without no non open closed enabled disabled layout".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
@@ -56,19 +64,31 @@ class Node:
         self.holds = False  # an article or main below
 
 
+def names_part(name: str) -> bool:
+    """Whether a class or id names a part that isn't main text."""
+    parts = [t for t in SPLIT.split(name) if t]
+    if not parts or not ABOUT.isdisjoint(parts):
+        return False
+    if parts[0] in REGIONS or parts[-1] in REGIONS:
+        return True
+    return not NOISE.isdisjoint(parts) and all(t in NOISE or t in HELPERS or t in REGIONS or t.isdigit() for t in parts)
+
+
 def _node(tag: str, attrs: str, up: Node, memo: dict) -> Node:
     if (known := memo.get((tag, attrs))) is None:
         found = {k.lower(): v.strip("\"'").lower() for k, v in ATTR.findall(attrs)} if attrs else {}
         names = f"{found.get('class', '')} {found.get('id', '')}".strip()
         tokens = {t for name in names.split() if not (own := set(SPLIT.split(name))) & ABOUT for t in own}
         style = tag + ("." + re.sub(r"\d+", "#", " ".join(sorted(names.split()))) if names else "")
-        noise = tag in NEVER or bool(tokens & NOISE) or found.get("role") in ROLES or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
+        noise = tag in NEVER or found.get("role") in ROLES or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
         noise = noise or (tag == "header" or "header" in tokens) and not tokens & {"article", "entry", "post", "content", "title"} and None
+        if not noise and any(map(names_part, names.split())):
+            noise = True if tag in BLOCK and tag not in SPARED else "outside"
         if len(memo) > 10_000:
             memo.clear()
         known = memo[tag, attrs] = (style, noise)
     style, noise = known
-    if noise is None:  # a header: the page's, unless it is an article's own
+    if noise is None or noise == "outside":  # a header: the page's, unless it is an article's own; so are a heading's and an inline tag's names
         at = up
         while at is not None and at.tag not in ("article", "main"):
             at = at.up
