@@ -22,21 +22,24 @@ DEEPEST = 512
 BROADCAST_ROWS = 20_000
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|textarea|template|iframe|noscript|noembed|xmp|svg|math|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(script|style|textarea|template|iframe|noscript|noembed|xmp|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-z][^\s/>]*)([^>]*)(?:>|\Z)|([^<]+|<)",
     re.S | re.I,
 )
 ATTR = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
-    "html body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr caption blockquote pre figure figcaption address details summary hr header footer nav aside form fieldset hgroup center menu dialog".split()
+    "html body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr caption blockquote pre xmp figure figcaption address details summary hr header footer nav aside form fieldset hgroup center menu dialog".split()
 )
 #: Of the hashes of runs of text.
 PRIME, BASE = (1 << 61) - 1, 0x1F3D5B79A2C4E6
 SPACED = frozenset("br td th".split())
 #: What an opening tag closes, and the tags beyond which it doesn't look.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-NEVER = frozenset("head nav footer aside form script style select button input textarea object canvas video audio map menu dialog datalist template".split())
+NEVER = frozenset("head nav footer aside form script style select button input textarea object canvas video audio map menu dialog datalist template svg".split())
+#: Foreign content: a tag there may close itself. Tags of HTML that end it, but not within those that hold HTML.
+FOREIGN, HOLDS_HTML = frozenset(("svg", "math")), frozenset("foreignobject desc annotation-xml mi mo mn ms mtext".split())
+BREAKS = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var article main section aside nav header footer figure form".split())
 ROOTS = frozenset(("html", "body", "article", "main"))
 #: Words that name such a part as the first or last of a class or id.
 REGIONS = frozenset("adsense adverts advertisement advertisements nav navbar sidebar sidebars breadcrumb breadcrumbs footer masthead gdpr commentlist disqus pager pagination toolbar".split())
@@ -98,13 +101,17 @@ def _node(tag: str, attrs: str, up: Node, memo: dict) -> Node:
 
 def parse(html: str, memo: dict) -> Node:
     root = Node("html", "html", None, False)
-    at = root
+    at, foreign = root, False
     for m in TOKEN.finditer(html):
         if (text := m[8]) is not None:
             at.items.append(text)
             continue
         tag = m[3] or m[6]
         if tag is None:
+            if m[1] and m[1].lower() == "xmp":  # its text as it stands
+                raw = _node("xmp", "", at, memo)
+                raw.items.append(re.sub(r"(?is)\A<xmp\b[^>]*>|</xmp\s*>\Z", "", m[0]).replace("&", "&amp;"))
+                at.items.append(raw)
             continue
         tag = tag.lower()
         if m[2] or m[5]:
@@ -116,9 +123,19 @@ def parse(html: str, memo: dict) -> Node:
             continue
         if tag == "html":
             continue
+        attrs = (m[4] if m[3] else m[7]) or ""
+        inside = None
+        if foreign:
+            up = at
+            while up is not None and up.tag not in FOREIGN and up.tag not in HOLDS_HTML:
+                up = up.up
+            inside = up if up is not None and up.tag in FOREIGN else None
+            if inside is not None and tag in BREAKS:
+                at, inside = inside.up, None
+        foreign = foreign or tag in FOREIGN
         if tag in BLOCK:  # a block ends an open paragraph, with all inline tags left open in it
             up = at
-            while up is not None and (up.tag not in BLOCK or up.tag == "p"):
+            while up is not None and up.tag not in HOLDS_HTML and (up.tag not in BLOCK or up.tag == "p"):
                 if up.tag == "p":
                     at = up.up
                     break
@@ -130,14 +147,14 @@ def parse(html: str, memo: dict) -> Node:
                 if up.tag in ends:
                     at = up.up
                 up = up.up
-        node = _node(tag, m[4] if m[3] else m[7], at, memo)
+        node = _node(tag, attrs, at, memo)
         at.items.append(node)
         if tag in ("article", "main") and not node.noise:
             up = at
             while up is not None and not up.holds:
                 up.holds = True
                 up = up.up
-        if tag not in VOID and node.depth < DEEPEST:
+        if tag not in VOID and not (attrs.endswith("/") and (tag in FOREIGN or inside is not None)) and node.depth < DEEPEST:
             at = node
     return root
 
