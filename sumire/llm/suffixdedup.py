@@ -1,10 +1,12 @@
 """Removal of repeated byte strings by merging Burrows-Wheeler transforms.
 
-Sorting all suffixes of a corpus in one place is out of the question, so it is first cut into parts that can be merged
+Sorting all suffixes of a corpus in one place is out of the question, so they are dealt to merges that can run
 alone: of every LENGTH-byte string its least K-byte run by hash (the leftmost of equals) is its anchor, and equal strings have
-equal anchors. Anchors seen in one document only are dropped; the rest go, with the bytes of the strings that they
-anchor, to buckets by hash. A bucket merges the transforms of its contexts by interleave refinement. Anchors of more than HOT
-occurrences would make their buckets grow with the corpus: their windows are minimum-aggregated by hash instead.
+equal anchors. Anchors seen in one document only are dropped. A chunk of documents is a shard: it sorts the rotations of the contexts of
+its other anchors (the bytes of the strings that they anchor) once, and sends each bucket of anchors its part of the transform.
+A bucket merges the shards' transforms by refining their interleave round by round; where a round splits two neighbours is their common
+prefix, and runs with common prefixes of a whole string are the repeated intervals. Hashes only deal; anchors and strings are
+told apart by their bytes.
 """
 
 from __future__ import annotations
@@ -13,19 +15,19 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import Scratch, parts, table
+from ._shared import parts, table
 from .anchors import grams, sliding
 
 LENGTH, K = 50, 20
 #: Bytes of text in a chunk of documents, and for each bucket of anchors.
-CHUNK, BUCKET = 2 << 20, 2 << 20
-#: An anchor that occurs more often isn't gathered: its windows are aggregated one by one.
-HOT = 1 << 16
+CHUNK, BUCKET = 4 << 20, 2 << 20
+#: The strings of an anchor that occurs more often are dealt to buckets by a second anchor of SECOND bytes beside the first.
+HOT, SECOND = 1 << 16, 8
 WIDE = 2 * LENGTH - K  # bytes of a context at most
+DEPTH = LENGTH - K + 1  # symbols of a string: its anchor is one
 
 
 class Chunk:
@@ -139,180 +141,252 @@ def _keys(buckets: list[int], blobs: list[bytes]) -> np.ndarray:
     return np.concatenate([np.zeros(0, np.uint64), *((np.uint64(b) << np.uint64(32)) | np.frombuffer(x, "<u4").astype(np.uint64) for b, x in zip(buckets, blobs, strict=True))])
 
 
-CONTEXTS = "bucket long, chunk long, keys binary, nth binary, at binary, size binary, least binary, most binary, bytes binary"
+def _split(rows: np.ndarray, hot: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first window, last window, bucket) of the parts of contexts: a whole one goes by its anchor, one of a hot anchor is cut where its windows' second anchors differ."""
+    key = np.ascontiguousarray(rows[:, :8]).view(">u8").ravel().astype(np.uint64)
+    windows = rows[:, 9].astype(np.int64) - LENGTH
+    plain, many = np.flatnonzero(~hot), np.flatnonzero(hot)
+    out = [(plain, np.zeros(len(plain), np.int64), windows[plain], (key[plain] >> np.uint64(32)).astype(np.int64))]
+    q, wide = np.arange(WIDE - SECOND + 1), np.uint64(2**64 - 1)
+    for i in range(0, len(many), 1 << 12):
+        some = many[i : i + (1 << 12)]
+        at, last = rows[some, 8].astype(np.int64)[:, None], windows[some]
+        body = np.ascontiguousarray(rows[some, 10:])
+        h = grams(body.ravel(), SECOND) * np.uint64(0x9FB21C651E98DF25)
+        h = np.concatenate([h, np.zeros(SECOND - 1, np.uint64)]).reshape(len(some), WIDE)[:, : len(q)]
+        second = np.full((len(some), DEPTH), wide)
+        for j in range(DEPTH):  # what lies beside the anchor in window j
+            second[:, j] = np.where((q >= j) & (q <= at - SECOND) | (q >= at + K) & (q <= j + LENGTH - SECOND), h, wide).min(1)
+        inside = np.arange(DEPTH) <= last[:, None]
+        new = inside & np.concatenate([np.ones((len(some), 1), bool), second[:, 1:] != second[:, :-1]], axis=1)
+        who, first = np.nonzero(new)
+        end = np.concatenate([np.where(who[1:] == who[:-1], first[1:] - 1, last[who[:-1]]), last[who[-1:]]]) if len(who) else who
+        to = (second[who, first] ^ key[some][who] * np.uint64(0xD6E8FEB86659FD93)) % np.uint64(buckets)
+        out.append((some[who], first, end, to.astype(np.int64)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def rotations(piece: np.ndarray, text: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Order of the rotations of strings that lie end to end in text, by piece (of each string) and symbols; equal ones in order of place.
+
+    Ranks by so many symbols give those by twice as many; only rotations that are still tied go on.
+    """
+    n = len(text)
+    begin = np.repeat(np.cumsum(length) - length, length)
+    size, off = np.repeat(length, length), np.arange(n) - begin
+    ahead = lambda at, by: begin[at] + (off[at] + by) % size[at]
+    symbols = int(text.max()) + 1 if n else 1
+    key = (np.repeat(piece, length) * symbols + text) * symbols + text[ahead(np.arange(n), 1)]
+    rank, todo, by, most = np.zeros(n, np.int64), np.arange(n), 2, int(length.max()) if n else 0
+    while True:
+        order = key.argsort(kind="stable")
+        todo, key = todo[order], key[order]
+        new = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
+        start = np.flatnonzero(new)
+        group = np.cumsum(new) - 1
+        # ranks are first places: those of a group of ties that goes on are counted from its own
+        old = rank[todo]
+        base = np.flatnonzero(np.concatenate([[True], old[1:] != old[:-1]])) if by > 2 and len(old) else np.zeros(min(1, len(old)), np.int64)
+        home = base[np.searchsorted(base, start, side="right") - 1] if len(start) else start
+        rank[todo] = (old[start] + start - home)[group]
+        tied = np.bincount(group)[group] > 1 if len(group) else new
+        todo = np.sort(todo[tied])
+        if by >= most or not len(todo):
+            return rank.argsort(kind="stable")
+        key = rank[todo] * n + rank[ahead(todo, by)]
+        by *= 2
+
+
+SHARDS = "bucket long, chunk long, low binary, high binary, nth binary, first binary, least binary, spread binary, anchors binary, numbers binary, bwt binary, marks binary"
 
 
 def _contexts(buckets: int):
     def run(docs: pa.Table, shared: pa.Table) -> pa.Table:
-        """A chunk's distinct contexts of shared anchors, with the least and the most doc_id of each."""
+        """A chunk's transforms of its distinct contexts of shared anchors, one for each bucket, with the least and the most doc_id of each context."""
         out: list[tuple] = []
         if docs.num_rows and shared.num_rows:
             c = _chunk(docs, buckets)
-            at = np.flatnonzero(np.isin(c.key, _keys(shared["bucket"].to_pylist(), shared["keys"].to_pylist())))
+            names = shared["bucket"].to_pylist()
+            often = _keys(names, [x or b"" for x in shared["hot"].to_pylist()])
+            at = np.flatnonzero(np.isin(c.key, np.concatenate([_keys(names, shared["keys"].to_pylist()), often])))
             rows, nth, own = c.classes(at)
             least, most = np.full(len(rows), np.iinfo(np.int64).max), np.full(len(rows), np.iinfo(np.int64).min)
             np.minimum.at(least, own, c.doc[at])
             np.maximum.at(most, own, c.doc[at])
             key = np.ascontiguousarray(rows[:, :8]).view(">u8").ravel().astype(np.uint64)
+            row, first, last, bucket = _split(rows, np.isin(key, often), buckets)
+            order = bucket.argsort(kind="stable")
+            row, first, last, bucket = (x[order] for x in (row, first, last, bucket))
+            cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
             chunk = docs["chunk"][0].as_py()
-            for b, i, j in _cuts(key):
-                r = rows[i:j]
-                body = r[:, 10:][np.arange(WIDE) < r[:, 9, None]].tobytes()
-                out.append((b, chunk, key[i:j].astype("<u4").tobytes(), nth[i:j].astype("<u4").tobytes(), r[:, 8].tobytes(), r[:, 9].tobytes(), least[i:j].tobytes(), most[i:j].tobytes(), body))
-        names = [x.split()[0] for x in CONTEXTS.split(", ")]
-        return pa.table({n: pa.array([r[i] for r in out], pa.int64() if i < 2 else pa.binary()) for i, n in enumerate(names)})
+            # so many buckets at a time that sorting holds a bounded number of symbols
+            i = 0
+            while i < len(cut):
+                j = max(i + 1, int(np.searchsorted(cut, cut[i] + (1 << 15), side="right")) - 1)
+                s = slice(cut[i], cut[j] if j < len(cut) else len(bucket))
+                out += _transforms(chunk, bucket[s], rows[row[s]], first[s], last[s], key[row[s]], nth[row[s]], least[row[s]], most[row[s]])
+                i = j
+        return pa.table({x.split()[0]: pa.array([r[i] for r in out], pa.int64() if i < 2 else pa.binary()) for i, x in enumerate(SHARDS.split(", "))})
 
     return run
 
 
-#: key holds bucket, place of the anchor in the window (5 bits) and the anchor's own 32 bits; at the context's number and the window's in it (6 bits).
-WINDOWS = "key long, h long, chunk long, at long, least long, most long"
-
-
-def _windows(buckets: int):
-    def run(docs: pa.Table, shared: pa.Table) -> pa.Table:
-        """Each window of a chunk's distinct contexts of hot anchors: its anchor and place in it, its hash, and the least and most doc_id."""
-        cut: list[np.ndarray] = [np.zeros(0, np.int64)] * 6
-        if docs.num_rows and shared.num_rows:
-            c = _chunk(docs, buckets)
-            at = np.flatnonzero(np.isin(c.key, _keys(shared["bucket"].to_pylist(), shared["hot"].to_pylist())))
-            rows, nth, own = c.classes(at)
-            least, most = np.full(len(rows), np.iinfo(np.int64).max), np.full(len(rows), np.iinfo(np.int64).min)
-            np.minimum.at(least, own, c.doc[at])
-            np.maximum.at(most, own, c.doc[at])
-            key = np.ascontiguousarray(rows[:, :8]).view(">u8").ravel().astype(np.uint64)
-            size = rows[:, 9].astype(np.int64)
-            h = grams(rows[:, 10:][np.arange(WIDE) < size[:, None]], LENGTH).view(np.int64)
-            w = size - LENGTH + 1
-            cls = np.repeat(np.arange(len(rows)), w)
-            j = np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w)
-            place = rows[:, 8].astype(np.int64)[cls] - j
-            wide = (key >> np.uint64(32)).astype(np.int64)[cls] << 37 | place << 32 | (key & np.uint64(0xFFFFFFFF)).astype(np.int64)[cls]
-            cut = [wide, h[(np.cumsum(size) - size)[cls] + j], np.full(len(cls), docs["chunk"][0].as_py()), nth[cls] << 6 | j, least[cls], most[cls]]
-        return pa.table({f.split()[0]: x.astype(np.int64) for f, x in zip(WINDOWS.split(", "), cut, strict=True)})
-
-    return run
-
-
-def _of_hot(windows: DataFrame) -> DataFrame:
-    """Those windows that a document below the chunk's highest has, with the least such doc_id. Equal windows have one anchor and place; with these their hash has over 100 bits."""
-    low = windows.groupBy("key", "h").agg(F.min("least").alias("hdoc"))
-    back = windows.join(low.hint("merge"), ["key", "h"]).where("hdoc < most")
-    return back.select("chunk", F.expr("shiftrightunsigned(key, 37)").alias("bucket"), F.expr("key & 4294967295").alias("hkey"), F.expr("shiftright(at, 6)").alias("hnth"), F.expr("CAST(at & 63 AS INT)").alias("hj"), "hdoc")
-
-
-def refine(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Merged order of the suffixes of the strings in text by depth symbols, and which of them have equal prefixes of that length.
-
-    The interleave begins as the strings lie, each its own shard. A round takes the suffixes in the order of the last one,
-    steps from each to the symbol before it, as in a Burrows-Wheeler transform, and deals these stably by symbol: the order
-    is then right for one symbol more. Where the symbol or the block of the rest differs a new block begins, so blocks at
-    the end are the intervals of common prefixes of depth symbols.
+def _transforms(chunk: int, bucket: np.ndarray, rows: np.ndarray, first: np.ndarray, last: np.ndarray, key: np.ndarray, nth: np.ndarray, least: np.ndarray, most: np.ndarray) -> list[tuple]:
+    """For each bucket, in order, the transform of its strings: symbols are 0 (end mark), bytes and one, and above these the anchors by their bytes."""
+    at = rows[:, 8].astype(np.int64)  # of the anchor in the whole context
+    anchor = np.ascontiguousarray(rows[np.arange(len(rows))[:, None], 10 + at[:, None] + np.arange(K)])
+    known, number = np.unique(anchor.view(f"V{K}").ravel(), return_inverse=True)
+    length = last - first + LENGTH - K + 2
+    begin = np.cumsum(length) - length
+    who = np.repeat(np.arange(len(rows)), length)
+    inside = np.arange(int(length.sum())) - np.repeat(begin, length)
+    place = (at - first)[who]
+    text = rows[who, np.minimum(10 + first[who] + inside + np.where(inside > place, K - 1, 0), 9 + WIDE)].astype(np.int64) + 1
+    text[begin + at - first] = 257 + number
+    text[begin + length - 1] = 0
+    new = np.concatenate([[True], bucket[1:] != bucket[:-1]])
+    order = rotations(np.cumsum(new) - 1, text, length)
+    before = text[np.where(inside[order] > 0, order - 1, begin[who[order]] + length[who[order]] - 1)]
+    marks = (before == 0) | (before > 256)
+    ends = who[order][text[order] == 0]  # strings in order of their end marks' rotations
+    out, low_symbol = [], np.where(before == 0, 0, np.where(before > 256, 1, before - 1)).astype(np.uint8)
+    start = np.flatnonzero(new)
+    stop = np.concatenate([start[1:], [len(rows)]])
+    piece_text = np.concatenate([[0], np.cumsum(length)])
+    for i, j in zip(start.tolist(), stop.tolist(), strict=True):
+        s, t = ends[i:j], slice(int(piece_text[i]), int(piece_text[j]))
+        local, numbers = np.unique(before[t][before[t] > 256] - 257, return_inverse=True)
+        k, spread = key[s], most[s] - least[s]
+        out.append((int(bucket[i]), chunk, k.astype("<u4").tobytes(), (k >> np.uint64(32)).astype("<u4").tobytes(), nth[s].astype("<u4").tobytes(), first[s].astype("u1").tobytes(), least[s].astype("<i8").tobytes(), spread.astype("<i8").tobytes(), known[local].tobytes(), numbers.astype("<u4").tobytes(), low_symbol[t].tobytes(), np.packbits(marks[t]).tobytes()))
+    return out
+
+
+def interleave(bwt: np.ndarray, step: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Merges the transforms of shards that lie one behind the other: the merged order of their rows, and each row's common prefix with the one before, depth at most.
+
+    bwt has the symbol before each row's rotation, step the row (of the same shard) of the rotation that begins with it. The interleave begins as the
+    shards lie. A round reads the symbols in its order, deals the rows that they lead to stably by symbol, and is then right for one
+    symbol more. A block of rows alike so far keeps its place for good, so the round that first parts two neighbours gives
+    their common prefix. A round that parts none is the last.
     """
-    order, block = np.arange(len(text), dtype=np.int32), np.zeros(len(text), np.int32)
-    for _ in range(depth):
-        before = order - 1
-        before[before < 0] = len(text) - 1
-        symbol = text[before]
+    n = len(bwt)
+    order, block, common = np.arange(n), np.zeros(n, np.int32), np.full(n, depth, np.uint8)
+    common[:1] = 0
+    for done in range(depth):
+        symbol = bwt[order]
         dealt = symbol.argsort(kind="stable")
-        order, symbol, rest = before[dealt], symbol[dealt], block[dealt]
-        block = np.zeros(len(text), np.int32)
-        np.cumsum((symbol[1:] != symbol[:-1]) | (rest[1:] != rest[:-1]), out=block[1:])
-    return order, block
-
-
-def resolve(key: np.ndarray, at: np.ndarray, size: np.ndarray, least: np.ndarray, body: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For contexts in order of key, the least doc_id that has each of their windows, one context after the other, and the windows' offsets.
-
-    A context's K-byte anchor counts as one symbol of its own, so that a window is LENGTH - K + 1 symbols.
-    """
-    windows = size - LENGTH + 1
-    offset = np.concatenate([[0], np.cumsum(windows)])
-    out = np.repeat(least, windows)
-    first = np.concatenate([[True], key[1:] != key[:-1]])
-    group = np.cumsum(first) - 1
-    mixed = np.flatnonzero(np.bincount(group)[group] > 1)
-    starts = np.concatenate([[0], np.cumsum(size)])[:-1]
-    while len(mixed):
-        number = np.cumsum(np.concatenate([[True], key[mixed[1:]] != key[mixed[:-1]]])) + 256
-        n = int(np.searchsorted(number, 65_000, side="right"))  # symbols have 16 bits
-        some, number, mixed = mixed[:n], number[:n], mixed[n:]
-        length = size[some] - K + 2  # with an end mark
-        begin = np.cumsum(length) - length
-        total = int(length.sum())
-        inside = np.arange(total) - np.repeat(begin, length)
-        a, s, m = np.repeat(at[some], length), np.repeat(starts[some], length), np.repeat(length, length)
-        from_body = s + inside + np.where(inside > a, K - 1, 0)
-        text = body[np.minimum(from_body, len(body) - 1)].astype(np.uint16) + np.uint16(1)
-        text[begin + at[some]] = number + 1
-        text[inside == m - 1] = 0
-        order, block = refine(text, LENGTH - K + 1)
-        doc = np.repeat(least[some], length)[order]
-        low = np.minimum.reduceat(doc, np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])))[block]
-        found = np.empty(total, np.int64)
-        found[order] = low
-        w = windows[some]
-        k = np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w)
-        out[np.repeat(offset[some], w) + k] = found[np.repeat(begin, w) + k]
-    return out, offset
+        symbol, rest = symbol[dealt], block[dealt]
+        order = step[order[dealt]]
+        part = np.flatnonzero((symbol[1:] != symbol[:-1]) | (rest[1:] != rest[:-1])) + 1
+        new = part[common[part] == depth]
+        if done and not len(new):
+            break
+        common[new] = done
+        block = np.zeros(n, np.int32)
+        block[part] = 1
+        np.cumsum(block, out=block)
+    return order, common
+
+
+class Shards:
+    """A bucket's transforms, read back: rows of all shards one behind the other, and the strings' rows and symbols from their end marks backwards."""
+
+    def __init__(self, rows: pa.Table):
+        get = lambda n, kind: _u(rows[n].to_pylist(), kind)
+        strings = np.array([len(x) // 4 for x in rows["nth"].to_pylist()], np.int64)
+        symbols = np.array([len(x) for x in rows["bwt"].to_pylist()], np.int64)
+        known = np.array([len(x) // K for x in rows["anchors"].to_pylist()], np.int64)
+        marks = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8))[:n] for x, n in zip(rows["marks"].to_pylist(), symbols, strict=True)]).astype(bool)
+        low = get("bwt", "u1")
+        bwt = low.astype(np.int64) + 1
+        bwt[marks] = 0
+        _, number = np.unique(get("anchors", f"V{K}"), return_inverse=True)
+        anchors = np.flatnonzero(marks & (low == 1))
+        bwt[anchors] = 257 + number[get("numbers", "<u4") + np.repeat(np.cumsum(known) - known, strings)]
+        n = len(bwt)
+        shard = np.repeat(np.arange(len(symbols)), symbols)
+        self.step = np.empty(n, np.int64)
+        self.step[(shard * (int(bwt.max()) + 1) + bwt).argsort(kind="stable")] = np.arange(n)
+        self.bwt, self.of = bwt, np.repeat(np.arange(len(strings)), strings)
+        at = np.arange(int(strings.sum())) + np.repeat(np.cumsum(symbols) - symbols - (np.cumsum(strings) - strings), strings)
+        most = DEPTH + LENGTH - K + 1  # symbols of a string at most
+        self.rows, self.symbols = np.full((len(at), most), -1, np.int64), np.zeros((len(at), most), np.int64)
+        self.length, left = np.zeros(len(at), np.int64), np.arange(len(at))
+        for t in range(most):
+            self.rows[left, t] = at
+            self.symbols[left, t] = found = bwt[at]
+            self.length[left[found == 0]] = t + 1
+            left, at = left[found > 0], self.step[at[found > 0]]
+        self.anchor = self.symbols.max(1)
+
+    def earliest(self, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each string's windows, one string after the other, the least doc_id of any string that has them; and the windows' offsets."""
+        windows = self.length - DEPTH
+        small = self.symbols.astype(np.uint32)
+        distinct, own = np.unique(small.view(f"V{small.shape[1] * 4}").ravel(), return_inverse=True)
+        first = np.full(len(distinct), len(small))
+        np.minimum.at(first, own, np.arange(len(small)))
+        low = np.full(len(distinct), np.iinfo(np.int64).max)
+        np.minimum.at(low, own, least)
+        offset = np.concatenate([[0], np.cumsum(windows)])
+        cls = np.repeat(np.arange(len(windows)), windows)
+        j = np.arange(len(cls)) - offset[cls]
+        row = self.rows[first[own[cls]], (self.length[cls] - 1 - j)]  # of the string that stands for its equals
+        found = np.full(len(self.bwt), np.iinfo(np.int64).max)
+        held = self.rows[first]
+        found[held[held >= 0]] = np.repeat(low, (held >= 0).sum(1))
+        # strings with an anchor of their own are done; the others' transforms are merged, so many anchors at a time that symbols have 16 bits
+        anchor = self.anchor[first]
+        mixed = np.flatnonzero(np.bincount(anchor)[anchor] > 1)
+        mixed = mixed[anchor[mixed].argsort(kind="stable")]
+        number = np.cumsum(np.concatenate([[True], anchor[mixed[1:]] != anchor[mixed[:-1]]])) if len(mixed) else mixed
+        for i in range(0, int(number[-1]) if len(number) else 0, 60_000):
+            some = first[mixed[(number > i) & (number <= i + 60_000)]]
+            keep = np.sort(self.rows[some][self.rows[some] >= 0])  # these strings' rows alone are still a transform, shard by shard
+            to = np.full(len(self.bwt), -1)
+            to[keep] = np.arange(len(keep))
+            symbol = self.bwt[keep]
+            names, dense = np.unique(symbol, return_inverse=True)
+            order, common = interleave(dense.astype(np.uint16), to[self.step[keep]], DEPTH)
+            doc = found[keep][order]
+            begin = np.flatnonzero(common < DEPTH)
+            found[keep[order]] = np.repeat(np.minimum.reduceat(doc, begin), np.diff(np.concatenate([begin, [len(doc)]])))
+        return found[row], offset
 
 
 def _earlier(rows: pa.Table) -> pa.Table:
     """For each chunk the runs of windows of its contexts that some document below the chunk's highest has: key, class, first, last and doc_id."""
     get = lambda n, kind: _u(rows[n].to_pylist(), kind)
-    count = [len(x) // 4 for x in rows["keys"].to_pylist()]
-    key, nth, at, size = get("keys", "<u4"), get("nth", "<u4"), get("at", "u1").astype(np.int64), get("size", "u1").astype(np.int64)
-    least, most, body = get("least", "<i8"), get("most", "<i8"), get("bytes", "u1")
-    begin = np.cumsum(size) - size
-    # equal contexts of several chunks are one, of the least doc_id
-    wide = np.zeros((len(key), 6 + WIDE), np.uint8)
-    wide[:, :4] = key.astype(">u4").view(np.uint8).reshape(-1, 4)
-    wide[:, 4], wide[:, 5] = at, size
-    inside = np.arange(WIDE) < size[:, None]
-    wide[:, 6:][inside] = body
-    distinct, own = np.unique(wide.view(f"V{wide.shape[1]}").ravel(), return_inverse=True)
-    rows_ = distinct.view(np.uint8).reshape(-1, wide.shape[1])
-    low = np.full(len(distinct), np.iinfo(np.int64).max)
-    np.minimum.at(low, own, least)
-    k2 = np.ascontiguousarray(rows_[:, :4]).view(">u4").ravel()
-    at2, size2 = rows_[:, 4].astype(np.int64), rows_[:, 5].astype(np.int64)
-    body2 = rows_[:, 6:][np.arange(WIDE) < size2[:, None]]
-    found, offset = resolve(k2, at2, size2, low, body2)
-    # back to each chunk's classes, as runs of one doc_id
-    w = (size - LENGTH + 1)[np.arange(len(size))]
-    j = np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w)
-    cls = np.repeat(np.arange(len(key)), w)
-    doc = found[offset[own][cls] + j]
-    keep = doc < most[cls]
-    cls, j, doc = cls[keep], j[keep], doc[keep]
+    s = Shards(rows)
+    high, low, nth, shift, least = get("high", "<u4"), get("low", "<u4"), get("nth", "<u4"), get("first", "u1").astype(np.int64), get("least", "<i8")
+    most = least + get("spread", "<i8")
+    found, offset = s.earliest(least)
+    cls = np.repeat(np.arange(len(least)), np.diff(offset))
+    j = np.arange(len(cls)) - offset[cls] + shift[cls]
+    keep = found < most[cls]
+    cls, j, doc = cls[keep], j[keep], found[keep]
     new = np.concatenate([[True], (cls[1:] != cls[:-1]) | (doc[1:] != doc[:-1]) | (j[1:] != j[:-1] + 1)]) if len(cls) else np.zeros(0, bool)
     i0 = np.flatnonzero(new)
     i1 = np.concatenate([i0[1:] - 1, [len(cls) - 1]]).astype(np.int64) if len(i0) else i0
-    chunk_of = np.repeat(np.arange(len(count)), count)[cls[i0]] if len(i0) else i0
-    cut = np.searchsorted(chunk_of, np.arange(len(count) + 1))
-    chunks, bucket, out = rows["chunk"].to_pylist(), rows["bucket"][0].as_py(), []
-    for n, chunk in enumerate(chunks):
-        s = slice(cut[n], cut[n + 1])
+    cut = np.searchsorted(s.of[cls[i0]] if len(i0) else i0, np.arange(rows.num_rows + 1))
+    out = []
+    for n, chunk in enumerate(rows["chunk"].to_pylist()):
+        r = slice(cut[n], cut[n + 1])
         if cut[n] < cut[n + 1]:
-            c = cls[i0[s]]
-            out.append((chunk, bucket, key[c].tobytes(), nth[c].tobytes(), j[i0[s]].astype("u1").tobytes(), j[i1[s]].astype("u1").tobytes(), doc[i0[s]].tobytes()))
-    return pa.table({n: pa.array([r[i] for r in out], pa.int64() if i < 2 else pa.binary()) for i, n in enumerate(RUNS)})
+            c = cls[i0[r]]
+            out.append((chunk, high[c].tobytes(), low[c].tobytes(), nth[c].tobytes(), j[i0[r]].astype("u1").tobytes(), j[i1[r]].astype("u1").tobytes(), doc[i0[r]].tobytes()))
+    return pa.table({n: pa.array([r[i] for r in out], pa.int64() if not i else pa.binary()) for i, n in enumerate(RUNS)})
 
 
-RUNS = ["chunk", "bucket", "keys", "nth", "first", "last", "doc"]
+RUNS = ["chunk", "high", "low", "nth", "first", "last", "doc"]
 
 
 def _covered(c: Chunk, runs: pa.Table) -> np.ndarray:
     """Which bytes of the chunk earlier documents have."""
     step = np.zeros(len(c.data) + 1, np.int32)
     if runs.num_rows and len(c.key):
-        blobs = {n: [x or b"" for x in runs[n].to_pylist()] for n in RUNS[2:]}
-        key = _keys(runs["bucket"].to_pylist(), blobs["keys"])
-        nth, first, last, doc = (_u(blobs[n], k).astype(np.int64) for n, k in (("nth", "<u4"), ("first", "u1"), ("last", "u1"), ("doc", "<i8")))
-        if len(single := runs.filter(pc.is_valid(runs["hkey"]))):
-            get = lambda n: single[n].to_numpy().astype(np.int64)
-            key = np.concatenate([key, ((get("bucket") << 32) | get("hkey")).astype(np.uint64)])
-            nth, first, last, doc = (np.concatenate([x, get(n)]) for x, n in ((nth, "hnth"), (first, "hj"), (last, "hj"), (doc, "hdoc")))
+        high, low, nth, first, last, doc = (_u(runs[n].to_pylist(), k).astype(np.int64) for n, k in zip(RUNS[1:], ("<u4", "<u4", "<u4", "u1", "u1", "<i8"), strict=True))
+        key = ((high << 32) | low).astype(np.uint64)
         at = np.flatnonzero(np.isin(c.key, key))
         rows, n_in_key, own = c.classes(at)
         whole = np.ascontiguousarray(rows[:, :8]).view(">u8").ravel().astype(np.uint64)
@@ -349,20 +423,16 @@ def _digest(buckets: int):
 
 def _planned(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     """Documents dealt into chunks by doc_id and text, the runs of their repeated windows by chunk, and how many buckets there are."""
-    scratch = Scratch(docs.sparkSession, "suffixes")
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     size = d.agg(F.sum(F.length("text"))).first()[0] or 0
     chunks, buckets = size // CHUNK + 1, size // BUCKET + 1
     d = d.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
-    d = d.repartition(max(parts(docs.sparkSession), min(chunks, 100_000)), "chunk")  # one exchange, used by all passes
+    d = d.repartition(max(parts(docs.sparkSession), min(chunks, 100_000)), "chunk")  # one exchange, which all three passes read
     by = d.groupBy("chunk")
     seen = by.applyInArrow(_seen(buckets), "bucket long, chunk long, once binary, many binary, often binary")
-    shared = scratch.save(seen.groupBy("bucket").applyInArrow(_shared_keys, "chunk long, bucket long, keys binary, hot binary"))
-    contexts = by.cogroup(shared.select("chunk", "bucket", "keys").groupBy("chunk")).applyInArrow(_contexts(buckets), CONTEXTS)
-    runs = contexts.groupBy("bucket").applyInArrow(_earlier, "chunk long, bucket long, keys binary, nth binary, first binary, last binary, doc binary")
-    most = shared.where("hot is not null").select("chunk", "bucket", "hot")
-    hot = _of_hot(scratch.save(by.cogroup(most.groupBy("chunk")).applyInArrow(_windows(buckets), WINDOWS)))
-    return d, runs.unionByName(hot, allowMissingColumns=True), buckets
+    shared = seen.groupBy("bucket").applyInArrow(_shared_keys, "chunk long, bucket long, keys binary, hot binary")
+    shards = by.cogroup(shared.groupBy("chunk")).applyInArrow(_contexts(buckets), SHARDS)
+    return d, shards.groupBy("bucket").applyInArrow(_earlier, ", ".join(f"{n} {'binary' if i else 'long'}" for i, n in enumerate(RUNS))), buckets
 
 
 def digest(docs: DataFrame) -> DataFrame:
