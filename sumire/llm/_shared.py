@@ -17,9 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is set."""
+    """The folder that driver and executors share, as spark.checkpoint.dir names it; where none is set, one of this machine's if all of Spark runs on it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="sumire-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -95,7 +97,7 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFram
         for x in (e, low, e1, least):
             scratch.drop(x)
         e = e2
-        now = e.agg(F.count("*"), F.sum(F.col("u").cast("decimal(38,0)")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
+        now = e.agg(F.count("*"), F.sum(F.xxhash64("u").cast("decimal(38,0)")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
         if now == mark:
             return e.select(F.col("v").alias("node"), F.col("u").alias("component")).union(e.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct())
         mark = now

@@ -129,17 +129,10 @@ def near_duplicates(docs: DataFrame, near: int = 3, width: int = 3) -> DataFrame
 
 
 def stage_simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of five-word shingles alike to 0.8 or more: the one whose doc_id is the component's.
+    """Keeps one document of each group of five-word shingles alike to 0.8 or more, the one of the least doc_id; see wide.keep_one."""
+    from .wide import keep_one
 
-    Rows that repeat that doc_id all stay, as do rows with a null doc_id, which can't stand for a group.
-    """
-    from .jaccard import similar
-
-    found = similar(docs)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__sim_gone")).distinct()
-    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("__sim_gone")).distinct()
-    gone = gone.join(stay, "__sim_gone", "left_anti")
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["__sim_gone"], "left_anti")
+    return keep_one(docs)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

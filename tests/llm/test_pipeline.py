@@ -19,7 +19,7 @@ def test_against_one_row_at_a_time(spark, tables, union):
     """Every stage done again in plain Python, given the classifier's verdicts."""
     from test_decontaminate import words
     from test_linededup import expected as lines_of
-    from test_simhash import plain_fingerprint
+    from test_wide import alike, plain
 
     sf = "/root/testdata/sf0.001"
     item = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
@@ -33,10 +33,10 @@ def test_against_one_row_at_a_time(spark, tables, union):
     toxic = {r.doc_id for r in toxicity.op10_toxicity(spark, folder).where("toxic").collect()}
     left = {d[0]: d[1] for d in docs if d[0] not in toxic}
     left = {i: x[4] for i, x in lines_of(list(left.items())).items()}
-    fps = {i: plain_fingerprint(t) for i, t in left.items()}
-    for i, a in fps.items():
-        for j, b in fps.items():
-            if i < j and (a ^ b).bit_count() <= 3:
+    sets = {i: plain(t) for i, t in left.items()}
+    for i, a in sets.items():
+        for j, b in sets.items():
+            if i < j and alike(a, b):
                 union.link(i, j)
     left = {i: t for i, t in left.items() if union.find(i) == i}
     windows = {tuple(w[k : k + min(13, len(w))]) for _, t in items if (w := words(t)) for k in range(len(w) - min(13, len(w)) + 1)}

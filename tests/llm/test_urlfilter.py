@@ -68,3 +68,36 @@ def test_empty_and_no_python_in_the_plan(spark, tables):
     assert out.collect() == [] and out.columns == ["page_id", "host", "path", "rule", "verdict"]
     plan = out._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_many_linkers_to_a_blocked_host(spark, tables, duck, rows):
+    """How many others link to a blocked host changes nothing; links to good hosts do. Extra columns don't matter."""
+    pages = [(0, "https://bad.net/es/", None)] + [(i, f"https://l{i}.org/", "<a href=https://bad.net/es/>x</a>") for i in range(1, 60)]
+    pages += [(100, "https://mixed.org/", "<a href='https://bad.net/es/'>x</a>" + "<a href='https://good.com/'>y</a>" * 9), (101, "https://good.com/", None)]
+    pages += [(200 + i, f"https://ring{i}.org/", f"<a href='https://ring{(i + 1) % 30}.org/'>x</a>" + "<a href=https://l1.org>z</a>" * (i == 0)) for i in range(30)]
+    folder = tables(pages=pages)
+    out = urlfilter.op3_url_filter(spark, folder)
+    got = {r.page_id: r.verdict for r in out.collect()}
+    assert {got[i] for i in range(60)} == {"block"} and got[100] == got[101] == "allow"
+    assert rows(out) == duck(urlfilter.SQL["op3_url_filter"], folder)
+    more = spark.read.parquet(f"{folder}/pages.parquet").selectExpr("*", "1 AS host", "'x' AS verdict", "2 AS __blocked", "3 AS rule")
+    assert {r.page_id: r.verdict for r in urlfilter.judge(more).collect()} == got
+
+
+def test_ranks_against_plain_iteration(spark):
+    import random
+
+    rng = random.Random(2)
+    hosts = [f"h{i}" for i in range(12)]
+    edges = {(a, b): rng.randrange(1, 5) for a in hosts for b in rng.sample(hosts, 3) if a != b}
+    seeds = {h: rng.random() for h in hosts[:5]}
+    out = {h: sum(n for (a, _), n in edges.items() if a == h) for h in hosts}
+    ranks = dict.fromkeys(hosts, 0.0)
+    for _ in range(300):
+        ranks = {h: 0.15 * seeds.get(h, 0.0) + 0.85 * sum(ranks[a] * n / out[a] for (a, b), n in edges.items() if b == h) for h in hosts}
+    from sumire.llm._shared import Scratch
+
+    ways = urlfilter.shares(spark.createDataFrame([(a, b, n) for (a, b), n in edges.items()], "src string, dst string, n long")).selectExpr("src AS a", "dst AS b", "share")
+    got = urlfilter.spread(spark.createDataFrame(list(seeds.items()), "host string, seed double"), ways, Scratch(spark, "test"), 1e-6)
+    for r in got.collect():
+        assert abs(r["rank"] - ranks[r.host]) < 1e-5
