@@ -247,7 +247,7 @@ class Document:
         return i
 
     def _lazy(self, inner: list[Line], text: str) -> bool:
-        return bool(inner and inner[-1][0].strip() and text.strip() and not self._starts(text, True) and not FENCE.match(inner[-1][0]) and not ATX.match(inner[-1][0]))
+        return bool(inner and inner[-1][0].strip() and text.strip() and not self._starts(text, False) and not FENCE.match(inner[-1][0]) and not ATX.match(inner[-1][0]))
 
     def _quote(self, lines: list[Line], i: int) -> tuple[list[Line], int]:
         inner: list[Line] = []

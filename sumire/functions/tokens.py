@@ -166,10 +166,11 @@ SHORT, NEAR = 24, 8
 class Builtin:
     """Least-cost path; costs rest on word classes and on a few neighbours that can't be."""
 
-    def segment(self, text: str) -> list[Token]:
+    def segment(self, text: str, start: int = 0, end: int | None = None) -> list[Token]:
+        """Tokens of text, or of a part of it that begins and ends at blanks or the text's ends: what lies between blanks is judged by itself."""
         out: list[Token] = []
         add, make = out.append, tuple.__new__
-        for m in WORD.finditer(text):
+        for m in WORD.finditer(text, start, len(text) if end is None else end):
             at, plain = m.start(), m[1]
             if plain is None:
                 word = m[0]

@@ -26,6 +26,7 @@ SCOPES |= {"ja-no-mixed-period": (PARAGRAPH, False), "no-mix-dearu-desumasu": ((
 
 #: Rules that the built-in analyser's tokens can't meet in a text without kana or kanji.
 JAPANESE_ONLY = frozenset(("no-doubled-joshi", "no-doubled-conjunctive-particle-ga", "no-doubled-conjunction", "no-dropping-the-ra", "no-double-negative-ja", "ja-no-weak-phrase"))
+REPEATED = re.compile(r"(?s)([ぁ-ゖ]).*?\1")
 WORDY = re.compile(f"[{KANJI}ぁ-ゖァ-ヺ]")
 
 Report = tuple  # (start, end, message, fix as (start, end, text) or None)
@@ -38,6 +39,11 @@ class View:
         self.block, self.text, self._backend, self._memo = block, block.text, backend, memo
         self._sentences: list[tuple[int, int]] | None = None
         self._starts: list[int] | None = None
+        self._parts: dict[tuple[int, int], list[Token]] = {}
+
+    @property
+    def builtin(self) -> bool:
+        return type(self._backend) is Builtin
 
     @property
     def sentences(self) -> list[tuple[int, int]]:
@@ -52,7 +58,12 @@ class View:
         return found
 
     def of(self, sentence: tuple[int, int]) -> list[Token]:
-        """Tokens that start in the sentence."""
+        """Tokens that start in the sentence. The built-in analyser looks at the sentence alone where it lies between blanks."""
+        a, b = sentence
+        if self._starts is None and self.builtin and (a == 0 or self.text[a - 1].isspace()) and (b == len(self.text) or self.text[b].isspace()):
+            if (found := self._parts.get(sentence)) is None:
+                found = self._parts[sentence] = self._backend.segment(self.text, a, b)
+            return found
         if self._starts is None:
             self._starts = [t.start for t in self.tokens]
         return self.tokens[bisect_left(self._starts, sentence[0]) : bisect_left(self._starts, sentence[1])]
@@ -198,11 +209,13 @@ def doubled_joshi(v: View, c: Config, doc: Document) -> list[Report]:
     name, out = "no-doubled-joshi", []
     gap, strict, allow = max(1, c.number(name, "min_interval", 1)), c.flag(name, "strict", False), c.strings(name, "allow")
     separators, commas = c.strings(name, "separatorCharacters", SEPARATORS), c.strings(name, "commaCharacters", COMMAS)
-    particles = [t.start for t in v.tokens if t.pos[:2] == "助詞"]
-    for s in v.sentences if len(particles) > 1 else ():
-        if bisect_left(particles, s[1]) - bisect_left(particles, s[0]) < 2:
+    for s in v.sentences:
+        if v.builtin and not REPEATED.search(v.text, *s):  # its particles are hiragana, and the same one must come twice
+            continue
+        tokens = v.of(s)
+        if sum(t.pos[:2] == "助詞" for t in tokens) < 2:
             continue
-        merged = _merged(v.of(s))
+        merged = _merged(tokens)
         counted = [(t, p) for t, p in merged if t.is_joshi or not strict and (_bracket(t.pos, t.pd1) or t.surface in separators or t.surface in commas and t.pos in ("名詞", "記号"))]
         groups: dict[tuple[str, ...], list[int]] = {}
         for i, (t, _) in enumerate(counted):

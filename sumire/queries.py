@@ -11,9 +11,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sumire import cases
 from sumire.functions import native
 from sumire.operators import lint, report
 from sumire.plans.config import RULE_IDS, Config
+from sumire.sources.files import spread
 
 #: Words and what takes their place, in this order.
 INJECTED = [(" the ", " ﾃｽﾄ "), (" of ", " が "), (" to ", " ​to "), (" and ", " \x01and "), (" is ", " 情報処理技術者 "), (" it ", " 漢字 "), (" in ", " " + "\U00020b9f" * 4 + " "), (" that ", " \U0001f600 ")]
@@ -21,7 +23,7 @@ TERMS = Config.merged({"rules": {"forbidden": {"patterns": ["worthless", "/lic[a
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def injected(text: Column) -> Column:
@@ -178,6 +180,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 QUERIES |= {"rule_forbidden": rule_forbidden, "rule_terminology": rule_terminology, "sentence_split": _sentences, "rule_sentence_length": sentence_length, "rule_max_comma": max_comma}
+QUERIES |= cases.QUERIES
 QUERIES |= {"rule_" + r.replace("-", "_"): _rule(r) for r in NATIVE}
 
 
@@ -241,3 +244,4 @@ SQL |= {"rule_forbidden": _literal("worthless"), "rule_terminology": _literal("L
 _EACH = " UNION ALL ".join(f"SELECT '{r}' AS rule, doc_id, count(*) AS k FROM ({SQL['rule_' + r.replace('-', '_')]}) GROUP BY doc_id" for r in NATIVE)
 _NAMES = ", ".join(f"('{r}')" for r in NATIVE)
 SQL["native_summary"] = f"SELECT rule, CAST(coalesce(sum(k), 0) AS BIGINT) AS n, count(k) AS n_documents FROM (VALUES {_NAMES}) v(rule) LEFT JOIN ({_EACH}) USING (rule) GROUP BY rule"
+SQL |= cases.SQL

@@ -29,3 +29,14 @@ def from_table(df: DataFrame, key: str, text: str) -> DataFrame:
 def token_lines(spark: SparkSession, path: str) -> DataFrame:
     """(text) of a file's lines that are neither blank nor begin with # or -."""
     return spark.read.text(path).where("trim(value) <> '' AND NOT value rlike '^[#-]'").withColumnRenamed("value", "text")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan as it is or, if it has fewer files than there are cores, dealt over them: a small table can be one row group, which one task reads.
+
+    A table of many files is never exchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < 16 * cores and len(df.inputFiles()) < cores:
+        return df.repartition(4 * cores)
+    return df

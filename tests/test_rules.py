@@ -147,6 +147,26 @@ def test_sentences_cover_the_text(text):
     assert "".join("".join(text[a:b].split()) for a, b in spans) == "".join(text.split())
 
 
+def test_items_end_the_last_ones_paragraph():
+    """A list's next item may have any number; an item that would interrupt a paragraph must be the first."""
+    of = lambda text: [(b.kind, b.text, b.quoted) for b in Document(text).blocks]
+    assert of("1. one\n2. two\nthree") == [("ListItem", "one", False), ("ListItem", "two\nthree", False)]
+    assert of("text\n2. two") == [("Paragraph", "text\n2. two", False)]
+    assert of("> quoted\n2. two") == [("Paragraph", "quoted", True), ("ListItem", "two", False)]
+
+
+@pytest.mark.parametrize("end", ["", " ", "\n", "。", " 。 "])
+def test_sentences_looked_at_alone_have_the_same_tokens(end):
+    from sumire.operators.rules import View
+
+    text = f"彼は行く。 私は a b は、行く。{end}これは。 それも{end}です！ いい. さて"
+    block = Document(text).blocks[0]
+    own = Builtin()
+    whole = tokenize(own, block.text)
+    for s in split(block.text):
+        assert View(block, own, {}).of(s) == [t for t in whole if s[0] <= t.start < s[1]]
+
+
 def test_sentence_ends():
     assert [("「あ。い」う。え")[a:b] for a, b in split("「あ。い」う。え")] == ["「あ。い」う。", "え"]
     assert [("a. b.c！？d")[a:b] for a, b in split("a. b.c！？d")] == ["a.", "b.c！？", "d"]
