@@ -9,15 +9,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KANJI = "[々〇〻\\x{3400}-\\x{9FFF}\\x{F900}-\\x{FAFF}\\x{20000}-\\x{2FFFF}]+"
+from .signs import java_set
+
+KANJI = f"[{java_set('kanji')}]+"
 SENTENCE = "(?s).*?(?:[。！？!?．]|\\.(?=\\p{IsWhite_Space}|\\z))+|(?s).+\\z"
 RULES = {
     "max-kanji-continuous-len": KANJI,
-    "no-exclamation-question-mark": "[!！?？]",
-    "no-zero-width-spaces": "\\x{200B}",
-    "no-invalid-control-character": "[\\x{0}-\\x{8}\\x{B}\\x{C}\\x{E}-\\x{1F}\\x{7F}-\\x{9F}]",
-    "no-nfd": "(?s).[\\x{3099}\\x{309A}\\x{309B}\\x{309C}]",
-    "no-hankaku-kana": "[\\x{FF61}-\\x{FF9F}]+",
+    "no-exclamation-question-mark": f"[{java_set('exclamation')}]",
+    "no-zero-width-spaces": f"[{java_set('zero-width')}]",
+    "no-invalid-control-character": f"[{java_set('control')}]",
+    "no-nfd": f"(?s).[{java_set('combining')}]",
+    "no-hankaku-kana": f"[{java_set('half-width')}]+",
 }
 
 

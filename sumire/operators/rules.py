@@ -9,12 +9,14 @@ from itertools import pairwise
 
 from sumire.functions.markdown import WHITE, Block, Document, utf16
 from sumire.functions.sentences import split
+from sumire.functions.signs import python_set
 from sumire.functions.tokens import Builtin, Morphology, Token, tokenize
 from sumire.plans.config import RULE_IDS, Config, matcher
 
-KANJI = "々〇〻㐀-鿿豈-﫿\U00020000-\U0002ffff"
+KANJI = python_set("kanji")
 KANJI_RUN, JAPANESE = re.compile(f"[{KANJI}]+"), re.compile(f"[{KANJI}ぁ-んァ-ヶ]")
-CONTROL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]")
+CONTROL, EXCLAIM, ZERO_WIDTH = (re.compile(f"[{python_set(x)}]") for x in ("control", "exclamation", "zero-width"))
+COMBINING, HALF_WIDTH = re.compile(f"(?s)(?<=.)[{python_set('combining')}]"), re.compile(f"[{python_set('half-width')}]+")
 NAMES = "NULL,START OF HEADING,START OF TEXT,END OF TEXT,END OF TRANSMISSION,ENQUIRY,ACKNOWLEDGE,BELL,BACKSPACE,CHARACTER TABULATION,LINE FEED,LINE TABULATION,FORM FEED,CARRIAGE RETURN,SHIFT OUT,SHIFT IN,DATA LINK ESCAPE,DEVICE CONTROL ONE,DEVICE CONTROL TWO,DEVICE CONTROL THREE,DEVICE CONTROL FOUR,NEGATIVE ACKNOWLEDGE,SYNCHRONOUS IDLE,END OF TRANSMISSION BLOCK,CANCEL,END OF MEDIUM,SUBSTITUTE,ESCAPE,INFORMATION SEPARATOR FOUR,INFORMATION SEPARATOR THREE,INFORMATION SEPARATOR TWO,INFORMATION SEPARATOR ONE".split(",")
 CONTROL_NAMES = dict(enumerate(NAMES)) | {0x7F: "DELETE"}
 SEPARATORS, COMMAS = (".", "．", "。", "?", "!", "？", "！"), ("、", "，")
@@ -121,14 +123,14 @@ def exclamations(v: View, c: Config, doc: Document) -> list[Report]:
     name = "no-exclamation-question-mark"
     flags = {"!": "allowHalfWidthExclamation", "！": "allowFullWidthExclamation", "?": "allowHalfWidthQuestion", "？": "allowFullWidthQuestion"}
     allow, out = (*c.strings(name, "allow"), "Yahoo!"), []
-    for m in re.finditer("[!！?？]", v.text):
+    for m in EXCLAIM.finditer(v.text):
         if not c.flag(name, flags[m[0]], False) and not v.block.excluded(m.start()) and not any(v.text.endswith(p, 0, m.end()) for p in allow):
             out.append((m.start(), m.end(), f'Disallow to use "{m[0]}".', None))
     return out
 
 
 def zero_width(v: View, c: Config, doc: Document) -> list[Report]:
-    return [(m.start(), m.end(), "Zero width space is disallowed.", (m.start(), m.end(), "")) for m in re.finditer("​", v.text)]
+    return [(m.start(), m.end(), "Zero width space is disallowed.", (m.start(), m.end(), "")) for m in ZERO_WIDTH.finditer(v.text)]
 
 
 def controls(v: View, c: Config, doc: Document) -> list[Report]:
@@ -137,7 +139,7 @@ def controls(v: View, c: Config, doc: Document) -> list[Report]:
 
 def decomposed(v: View, c: Config, doc: Document) -> list[Report]:
     out = []
-    for m in re.finditer("(?s)(?<=.)[゙゚゛゜]", v.text):
+    for m in COMBINING.finditer(v.text):
         at = m.start()
         pair, whole = v.text[at - 1 : at + 1], unicodedata.normalize("NFC", v.text[at - 1] + {"゛": "゙", "゜": "゚"}.get(m[0], m[0]))
         out.append((at, at + 1, f'Disallow to use NFD(well-known as UTF8-MAC 濁点): "{pair}" => "{whole}"', (at - 1, at + 1, whole)))
@@ -145,7 +147,7 @@ def decomposed(v: View, c: Config, doc: Document) -> list[Report]:
 
 
 def half_width(v: View, c: Config, doc: Document) -> list[Report]:
-    return [(m.start(), m.end(), f'Disallow to use 半角カタカナ: "{m[0]}"', (m.start(), m.end(), unicodedata.normalize("NFKC", m[0]))) for m in re.finditer("[｡-ﾟ]+", v.text) if not v.block.excluded(m.start())]
+    return [(m.start(), m.end(), f'Disallow to use 半角カタカナ: "{m[0]}"', (m.start(), m.end(), unicodedata.normalize("NFKC", m[0]))) for m in HALF_WIDTH.finditer(v.text) if not v.block.excluded(m.start())]
 
 
 def mixed_period(v: View, c: Config, doc: Document) -> list[Report]:

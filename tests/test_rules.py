@@ -266,3 +266,31 @@ def test_inline(source, flags):
         else:
             got.append((text, mark))
     assert got == flags
+
+
+def test_character_rules_agree_with_built_in_functions(spark, sf_dir):
+    """On documents where Markdown plays no part the engine and the built-in functions find the same places."""
+    from sumire import queries
+    from sumire.functions import native
+
+    docs = {r.doc_id: r.text for r in queries._docs(spark, sf_dir).collect() if r.text}
+    plain = {}
+    for i, text in docs.items():
+        blocks = Document(text).blocks
+        if len(blocks) == 1 and blocks[0].kind == "Paragraph" and blocks[0].text == text and all(s.kind == "text" and not (s.in_link or s.in_emphasis or s.in_strong) for s in blocks[0].segments):
+            plain[i] = text
+    assert len(plain) >= 5
+    of = spark.createDataFrame(list(plain.items()), "doc_id long, text string")
+    wide = {i: [k for k, c in enumerate(t) if c > "￿"] for i, t in plain.items()}
+    total = 0
+    for name in native.RULES:
+        got = sorted((r.doc_id, r.start + sum(k < r.start for k in wide[r.doc_id])) for r in native.rule(of, name).collect())
+        want = sorted((i, d["range"][0]) for i, t in plain.items() for d in found(t, name))
+        assert got == want, name
+        total += len(got)
+    assert total > 20
+    commas = sorted((i, d["range"][0]) for i, t in plain.items() if not set(t) & set("「」『』()[]{}\"“”（）") for d in found(t, "max-comma", {"max": 3}))
+    whole = [(i, t) for i, t in plain.items() if not set(t) & set("「」『』()[]{}\"“”（）")]
+    longs = sum(1 for i, t in whole for d in found(t, "sentence-length"))
+    cut = spark.createDataFrame(whole, "doc_id long, text string").select("doc_id", native.F.explode(native.sentences(native.F.col("text"))).alias("s"))
+    assert cut.where(native.utf16_length(native.F.col("s")) > 100).count() == longs and cut.where(native.F.regexp_count("s", native.F.lit(",")) > 3).count() == len(commas)
