@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import Scratch, arrow_map, components, table
+from ._shared import Scratch, arrow_map, components, parts, table
 
 LOWER = bytes(range(256)).translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"))
 
@@ -99,6 +99,7 @@ def links(fps: DataFrame, scratch: Scratch, near: int = 3) -> DataFrame:
     """
     if near > 3:
         raise ValueError("two segments find pairs at 3 bits or fewer")
+    fps = fps.repartition(parts(fps.sparkSession), "fp")  # each makes 66 keys: over all cores, however few files hold them
     low = F.lit(0xFFFFFFFF).cast("long")
     halves = [F.col("fp").bitwiseAND(low), F.shiftrightunsigned("fp", 32)]
     index = fps.select("fp", F.explode(F.array(*[k for i, h in enumerate(halves) for k in _variants(h, 32, i)])).alias("key"))
