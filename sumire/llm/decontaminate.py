@@ -10,12 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import fresh, table
+from ._shared import Scratch, fresh, table
 
 #: Bytes to bytes: A-Z in lower case, all that parts words a space. 0x80 and above belong to words.
 WORDS = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
-#: Texts of more bytes than this are cut into several automata, each of a bounded broadcast.
-BLOCK_BYTES = 8 << 20
+#: Texts of more bytes than this are cut into several automata, each of a bounded broadcast; so many of these are held in one pass over the documents.
+BLOCK_BYTES, HELD = 2 << 20, 4
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -126,18 +126,32 @@ class Automaton:
         return spans, names
 
 
-def load_items(items: DataFrame) -> list[list[tuple[str, bytes]]]:
-    """Item texts in blocks of BLOCK_BYTES at most (or one text); null texts have no words, a null id is the empty string."""
+def load_items(items: DataFrame) -> Iterator[list[tuple[str, bytes]]]:
+    """Item texts in blocks of BLOCK_BYTES at most (or one text), one after the other; null texts have no words, a null id is the empty string."""
     rows = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("binary").alias("text")).where("text is not null")
-    blocks: list[list[tuple[str, bytes]]] = [[]]
+    block: list[tuple[str, bytes]] = []
     size = 0
     for r in rows.toLocalIterator():
-        if size + len(r.text) > BLOCK_BYTES and blocks[-1]:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((r.item_id, bytes(r.text)))
+        if size + len(r.text) > BLOCK_BYTES and block:
+            yield block
+            block, size = [], 0
+        block.append((r.item_id, bytes(r.text)))
         size += len(r.text)
-    return [b for b in blocks if b]
+    if block:
+        yield block
+
+
+def _passes(docs: DataFrame, items: DataFrame) -> Iterator[list]:
+    """Broadcast blocks of items for each pass over the documents, HELD at most; without items one pass without blocks."""
+    held: list = []
+    first = True
+    for block in load_items(items):
+        if len(held) == HELD:
+            yield held
+            held, first = [], False
+        held.append(docs.sparkSession.sparkContext.broadcast(block))
+    if held or first:
+        yield held
 
 
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -151,53 +165,61 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 class Scanner:
-    """Looks for the windows of all blocks of items; one block alone is kept as an automaton, several are built in turn for each batch."""
+    """Looks for the windows of some blocks of items, each an automaton that is built once a task."""
 
     def __init__(self, held: list, window: int):
-        self.held, self.window = held, window
-        self.machine = self._of(held[0].value) if len(held) == 1 else None
-
-    def _of(self, block: list[tuple[str, bytes]]) -> Automaton:
-        return Automaton([(name, words_of(x)) for name, x in block], self.window)
-
-    def scan(self, texts: list[bytes | None]) -> tuple[list[int], list[list[tuple[int, int]]], list[list[str]]]:
-        """For each text how many words it has, the merged spans of hit words, and the names of items with occurring windows."""
-        n, spans, names = [0] * len(texts), [[] for _ in texts], [set() for _ in texts]
-        for h in self.held or [None]:
-            m = self.machine or self._of(h.value if h else [])
-            for i, x in enumerate(texts):
-                words = words_of(x)
-                n[i] = len(words)
-                found, of = m.scan(words)
-                spans[i] += found
-                names[i] |= of
-        return n, [merge(s) for s in spans], [sorted(s) for s in names]
+        self.machines = [Automaton([(name, words_of(x)) for name, x in h.value], window) for h in held]
 
+    def scan(self, texts: list[bytes | None], spans: list[list[tuple[int, int]]] | None = None, names: list[list[str]] | None = None) -> tuple[list[int], list[list[tuple[int, int]]], list[list[str]]]:
+        """For each text how many words it has, the merged spans of hit words, and the names of items with occurring windows; those of earlier passes among them."""
+        n, all_spans, all_names = [], [], []
+        for i, x in enumerate(texts):
+            words = words_of(x)
+            own, of = list(spans[i]) if spans else [], set(names[i]) if names else set()
+            for m in self.machines:
+                found, more = m.scan(words)
+                own += found
+                of |= more
+            n.append(len(words))
+            all_spans.append(merge(own))
+            all_names.append(sorted(of))
+        return n, all_spans, all_names
 
-def hits(docs: DataFrame, items: DataFrame, window: int = 13) -> DataFrame:
-    """docs with __words long, __spans (merged spans of hit words, [from, to)) and __items (names of items with occurring windows, sorted), as the last three columns; they are named otherwise if docs has such columns.
 
-    Items are a test set, whose bytes are read in blocks: each block is one broadcast of bounded size and
-    one automaton in a task at a time. Null and empty texts have no words, spans or items.
-    """
-    held, at = _broadcast(docs, items), docs.columns.index("text")
-    pair = T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
-    added = fresh(docs, "__words", "__spans", "__items")
-    schema = T.StructType([*docs.schema.fields, *map(T.StructField, added, (T.LongType(), pair, T.ArrayType(T.StringType())))])
-    kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+PAIR = T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
+_PAIR = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+
+
+def _before(b: pa.RecordBatch, at: int) -> tuple[list[list[tuple[int, int]]], list[list[str]]]:
+    return [[(p["a"], p["b"]) for p in s] for s in b.column(at).to_pylist()], b.column(at + 1).to_pylist()
+
+
+def _pass(docs: DataFrame, held: list, window: int, at: int, added: list[str], again: bool) -> DataFrame:
+    """One pass: docs with the three columns, or, if they are there already, with what this pass finds besides."""
+    schema = docs.schema if again else T.StructType([*docs.schema.fields, *map(T.StructField, added, (T.LongType(), PAIR, T.ArrayType(T.StringType())))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(held, window)
         for b in batches:
-            n, spans, names = scanner.scan(b.column(at).cast(pa.binary()).to_pylist())
-            made = [pa.array(n, pa.int64()), pa.array([[{"a": p, "b": q} for p, q in s] for s in spans], kind), pa.array(names, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([*b.columns, *made], [*b.schema.names, *added])
+            columns = list(b.columns)[:-3] if again else list(b.columns)
+            n, spans, names = scanner.scan(b.column(at).cast(pa.binary()).to_pylist(), *(_before(b, len(columns) + 1) if again else ()))
+            made = [pa.array(n, pa.int64()), pa.array([[{"a": p, "b": q} for p, q in s] for s in spans], _PAIR), pa.array(names, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*columns, *made], schema.names)
 
     return docs.mapInArrow(run, schema)
 
 
-def _broadcast(docs: DataFrame, items: DataFrame) -> list:
-    return [docs.sparkSession.sparkContext.broadcast(b) for b in load_items(items)]
+def hits(docs: DataFrame, items: DataFrame, window: int = 13) -> DataFrame:
+    """docs with __words long, __spans (merged spans of hit words, [from, to)) and __items (names of items with occurring windows, sorted), as the last three columns; they are named otherwise if docs has such columns.
+
+    Items are a test set, whose bytes are read in blocks: each block is one broadcast of bounded size and one automaton, built once a task. More
+    than HELD blocks take further passes, between which the documents are written. Null and empty texts have no words, spans or items.
+    """
+    at, added, scratch = docs.columns.index("text"), fresh(docs, "__words", "__spans", "__items"), Scratch(docs.sparkSession, "hits")
+    out = None
+    for held in _passes(docs, items):
+        out = _pass(docs, held, window, at, added, False) if out is None else _pass(scratch.save(out), held, window, at, added, True)
+    return out
 
 
 def n_hit(spans: str) -> Column:
@@ -232,21 +254,24 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, share: fl
 
     Columns stay; n_chars follows the text if there is such a column. Null and empty texts stay as they are.
     """
-    held, at, names = _broadcast(docs, items), docs.columns.index("text"), docs.columns
-    many = 1 / share
+    at, names, passes = docs.columns.index("text"), docs.columns, list(_passes(docs, items))
+    found, added, scratch = docs, fresh(docs, "__words", "__spans", "__items"), Scratch(docs.sparkSession, "hits")
+    for i, held in enumerate(passes[:-1]):
+        found = scratch.save(_pass(found, held, window, at, added, i > 0))
+    held, many, again = passes[-1], 1 / share, len(passes) > 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(held, window)
         for b in batches:
-            n, spans, _ = scanner.scan(b.column(at).cast(pa.binary()).to_pylist())
+            columns = list(b.columns)[: len(names)]
+            n, spans, _ = scanner.scan(b.column(at).cast(pa.binary()).to_pylist(), *(_before(b, len(names) + 1) if again else ()))
             hit = [sum(q - p for p, q in s) for s in spans]
-            columns = list(b.columns)
             if any(hit):
                 columns[at] = pa.array([_cut(x, s) if s else x for x, s in zip(columns[at].to_pylist(), spans, strict=True)], columns[at].type)
             stay = pa.array([not h or h * many < k for h, k in zip(hit, n, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays(columns, names).filter(stay)
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = found.mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(out.schema["n_chars"].dataType)) if "n_chars" in names else out
 
 

@@ -90,3 +90,13 @@ def test_stage_cuts_spans_and_drops_rows(spark, tables):
     assert decontaminate.stage_decontaminate(spark, docs, folder).columns == docs.columns
     assert sorted(out) == [1, 3, 4, 5] and out[1].text == clean and out[3].text == f"{rest} () end"
     assert out[3]["__items"] == "c" and out[3].n_chars == len(out[3].text) and out[4].text is None and out[5].text == ""
+
+
+def test_stage_in_several_passes(spark, tables, monkeypatch):
+    docs, items = made()
+    folder = tables(documents=docs, benchmark=items)
+    read = spark.read.parquet(f"{folder}/documents.parquet")
+    key = lambda df: sorted((tuple(r) for r in df.collect()), key=repr)
+    one = key(decontaminate.stage_decontaminate(spark, read, folder))
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 60)
+    assert key(decontaminate.stage_decontaminate(spark, read, folder)) == one and len(one) < len(docs)
