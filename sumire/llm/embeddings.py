@@ -18,6 +18,8 @@ CELL, CODEWORDS, BLOCK = 192, 1024, 2048
 #: Visitors of a cell compared in one task; those of a crowded cell are cut into parties.
 GUESTS = 8192
 RECALL, QUERIES = 0.995, 600
+#: Vector lengths that have an index of their own, the commonest; vectors of another length are all compared, in blocks.
+LENGTHS = 64
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -98,10 +100,21 @@ def _floats(column: pa.Array) -> list[np.ndarray]:
     return [flat[a - at[0] : b - at[0]] for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
-def classes(vectors: DataFrame) -> DataFrame:
-    """(node, embedding, n): the distinct vectors that can link, by a hash of their components, and how many rows have each."""
+def classes(vectors: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(node, embedding, n): the distinct vectors that can link and how many rows have each; and (hash) of those hashes that unlike vectors share.
+
+    A node is a hash of the components; vectors that share one are told apart by a second hash.
+    """
     ok = F.expr("embedding IS NOT NULL AND forall(embedding, x -> x IS NOT NULL AND abs(CAST(x AS DOUBLE)) < double('infinity') AND NOT isnan(x)) AND exists(embedding, x -> x <> 0)")
-    return vectors.where(ok).groupBy(F.xxhash64("embedding").alias("node")).agg(F.first("embedding").alias("embedding"), F.count("*").alias("n"))
+    own = scratch.save(vectors.where(ok).groupBy(F.xxhash64("embedding").alias("hash"), "embedding").agg(F.count("*").alias("n")))
+    clash = scratch.save(own.groupBy("hash").agg(F.count("*").alias("k")).where("k > 1").select("hash"))
+    return with_nodes(own, clash).select("node", "embedding", "n"), clash
+
+
+def with_nodes(df: DataFrame, clash: DataFrame) -> DataFrame:
+    """df (hash, embedding, and any more) with node."""
+    shared = clash.select("hash", F.lit(True).alias("shared"))
+    return df.join(shared, "hash", "left").withColumn("node", F.when(F.col("shared"), F.xxhash64(F.lit("again"), "embedding")).otherwise(F.col("hash"))).drop("shared")
 
 
 def _forest(near: np.ndarray) -> list[tuple[int, int]]:
@@ -164,8 +177,9 @@ def near_duplicates(vectors: DataFrame, alike: float = 0.95, recall: float = REC
     spark = vectors.sparkSession
     scratch = Scratch(spark, "embeddings")
     vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    own = scratch.save(classes(vectors).withColumn("size", F.size("embedding")))
-    sizes = {r["size"]: r["c"] for r in own.groupBy("size").agg(F.count("*").alias("c")).orderBy(F.desc("c"), "size").limit(64).collect()}
+    own, clash = classes(vectors, scratch)
+    own = scratch.save(own.withColumn("size", F.size("embedding")))
+    sizes = {r["size"]: r["c"] for r in own.groupBy("size").agg(F.count("*").alias("c")).orderBy(F.desc("c"), "size").limit(LENGTHS).collect()}
     indexes = {}
     for r, n in sizes.items():
         few = own.where(F.col("size") == r).orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("embedding").toArrow()
@@ -199,7 +213,7 @@ def near_duplicates(vectors: DataFrame, alike: float = 0.95, recall: float = REC
     label = components(found.where("b is not null").select("a", "b"), scratch)
     of = own.select("node", F.col("n").alias("alike")).join(counts, "node", "left").join(label, "node", "left").select("node", "alike", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "node").alias("component"))
     of = scratch.save(of)
-    ok = scratch.save(vectors.select("vec_id", F.xxhash64("embedding").alias("node")).join(of, "node", "left"))
+    ok = scratch.save(with_nodes(vectors.withColumn("hash", F.xxhash64("embedding")), clash).select("vec_id", "node").join(of, "node", "left"))
     least = scratch.save(ok.where("component is not null").groupBy("component").agg(F.min("vec_id").alias("least")))
     out = ok.join(least, "component", "left")
     component = F.when(F.col("component").isNull(), F.col("vec_id")).otherwise(F.col("least"))

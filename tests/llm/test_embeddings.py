@@ -102,3 +102,11 @@ def test_cells_come_nearest_first():
 def test_components_kinds(spark, kind):
     df = spark.sql(f"SELECT 1 AS vec_id, CAST(array(1, 2) AS {kind}) AS embedding UNION ALL SELECT 2, CAST(array(2, 4) AS {kind})")
     assert {r.component_id for r in embeddings.near_duplicates(df).collect()} == {1}
+
+
+def test_vectors_that_share_a_hash_are_told_apart(spark):
+    df = spark.createDataFrame([(5, [1.0, 0.0]), (5, [0.0, 1.0]), (5, [0.0, 1.0]), (6, [2.0])], "hash long, embedding array<float>")
+    clash = spark.createDataFrame([(5,)], "hash long")
+    got = [(r.hash, tuple(r.embedding), r.node) for r in embeddings.with_nodes(df, clash).collect()]
+    assert len({n for *_, n in got}) == 3 and {n for h, _, n in got if h == 6} == {6}
+    assert len({n for _, e, n in got if e == (0.0, 1.0)}) == 1
