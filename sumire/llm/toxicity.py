@@ -137,10 +137,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Link
     seen = texts.select("__doc", "__text", F.col("__quality").cast("int"), F.col("__toxic").cast("int")).mapInArrow(run, "id long, words binary, dense array<double>, quality int, toxic int")
     held, size = {}, 0
     for r in seen.orderBy(F.xxhash64("id"), "id", "words").toLocalIterator():
-        size += len(r.words)
-        if size > SAMPLE_BYTES:
-            break
-        held[r.id] = r
+        if size + len(r.words) <= SAMPLE_BYTES:  # a row that doesn't fit is passed over
+            held[r.id] = r
+            size += len(r.words)
     seen = list(held.values())
     rows_ = [(lambda own: own | {b"4 " + w[:4] for w in own} | {b"5 " + w[:5] for w in own})(set(bytes(r["words"]).split())) for r in seen]
     dense = np.array([r["dense"] for r in seen]).reshape(len(seen), DENSE)

@@ -69,3 +69,74 @@ def test_table_has_the_articles_alone(spark, sf_dir):
     got = htmltext.op7_html(spark, sf_dir).collect()
     assert len(got) == 50 and all(r.n_chars == len(r.text) and "©" not in r.text and "track(" not in r.text for r in got)
     assert got[0].text.count("\n") > 2
+
+
+def test_low_branches_against_counted_entropies(spark):
+    """The style tree once more: pages parsed by the standard library, styles' paths and texts counted by hand."""
+    import math
+    import random
+    from collections import Counter, defaultdict
+    from html.parser import HTMLParser
+
+    rng = random.Random(12)
+    word = lambda: rng.choice("alpha beta gamma delta epsilon zeta eta theta".split())
+    pages = []
+    for i in range(60):
+        host = f"h{i % 4}.org"
+        body = "".join(f"<div class='p{'ab'[k % 2]}'><span>{word()} {i if k % 3 else ''}</span>{'<ul><li>x</ul>' * rng.randrange(2)}</div>" for k in range(rng.randrange(1, 5)))
+        pages.append((i, f"http://{host}/{i}", f"<body><div class=top><p>Same on all.</p></div>{body}<section class=s{i % 2}><p>{word()}</p></section></body>"))
+    pages += [(100, "http://h1.org/again", pages[1][2]), (101, "http://h9.org/", "<div class=top>x</div>"), (102, None, None)]
+
+    class Tree(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.top = ["html", [], ""]
+            self.stack = [self.top]
+
+        def handle_starttag(self, tag, attrs):
+            names = " ".join(sorted(dict(attrs).get("class", "").split()))
+            node = [tag + ("." + "".join("#" if c.isdigit() else c for c in names) if names else ""), [], ""]
+            self.stack[-1][1].append(node)
+            self.stack.append(node)
+
+        def handle_endtag(self, tag):
+            while self.stack[-1][0].split(".")[0] != tag:  # li is left open
+                self.stack.pop()
+            self.stack.pop()
+
+        def handle_data(self, data):
+            for n in self.stack:
+                n[2] += "|" + " ".join(data.split())
+
+    seen = defaultdict(set)
+    for _, url, html in pages:
+        if html is None:
+            continue
+        tree = Tree()
+        tree.feed(html)
+        host, whole, todo = url.split("/")[2], tree.top[2], [(tree.top, ())]
+        while todo:
+            node, path = todo.pop()
+            for x in node[1]:
+                at = (*path, x[0])
+                if x[0].split(".")[0] in htmltext.BLOCK - htmltext.ROOTS:
+                    seen[host, at, 0].add((">".join(y[0] for y in x[1]), whole))
+                    seen[host, at, 1].add((x[2], whole))
+                todo.append((x, at))
+    importance = defaultdict(float)
+    for (host, at, kind), features in seen.items():
+        n, counts = len(features), Counter(f for f, _ in features)
+        if n >= htmltext.PAGES:
+            h = -sum(c / n * math.log(c / n) for c in counts.values()) / math.log(n)
+            importance[host, at] += h * (htmltext.DEEP if kind else 1 - htmltext.DEEP)
+    import xxhash
+
+    def name(path):
+        h = 0
+        for style in path:
+            h = xxhash.xxh64_intdigest(f"{h}/{style}") - (1 << 63)
+        return h
+
+    want = {(host, name(at)) for (host, at), x in importance.items() if x < htmltext.LOW}
+    got = {(r.host, r.path) for r in htmltext.low_branches(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == want and len(want) >= 4
