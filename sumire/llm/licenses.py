@@ -53,7 +53,9 @@ TEMPLATES = [
     ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
 ]
 KEEP = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else 0x20 for c in range(256))
-DIGITS = re.compile(rb"[0-9]+")
+DIGITS, SENTENCE = re.compile(rb"[0-9]+"), re.compile(rb"[.!?]+[ \t]+")
+#: Paragraphs that a licence within a longer text has at most.
+WINDOW = 6
 
 
 def normal(text: bytes) -> list[bytes]:
@@ -69,10 +71,14 @@ class Templates:
         low, high = alike / (2 - alike), (2 - alike) / alike
         self.least, self.most = min((n * low for *_, n in self.rows), default=1), max((n * high for *_, n in self.rows), default=0)
 
+    def may(self, n: int, known: int) -> bool:
+        """Whether a unit of n bigrams, of whose words so many are in templates, can match at all."""
+        return self.least - 1e-9 <= n <= self.most + 1e-9 and known >= self.alike / (2 - self.alike) * n
+
     def best(self, words: list[bytes]) -> tuple[str, float] | None:
         """The licence of the highest coefficient, the first by name of equals; templates whose size alone keeps them below are passed over."""
         n = len(words) - 1
-        if not self.least - 1e-9 <= n <= self.most + 1e-9 or sum(map(self.words.__contains__, words)) < self.alike / (2 - self.alike) * n:
+        if not self.may(n, sum(map(self.words.__contains__, words))):
             return None
         own, found = Counter(zip(words, words[1:], strict=False)), None
         for name, pairs, m in self.rows:
@@ -84,28 +90,44 @@ class Templates:
         return found
 
     def scan(self, text: bytes | None) -> tuple[str | None, float | None, int]:
-        """Best licence and coefficient among the whole text, its lines and its paragraphs, and how many lines match."""
-        raw, lines, best = text or b"", 0, None
-        units = [(0, raw)]
-        split = raw.split(b"\n")
-        if len(split) > 1:
-            units += [(1, x) for x in split]
-            if b"\n\n" in raw:
-                units += [(2, x) for x in raw.split(b"\n\n")]
-        else:
-            units = [(1, raw)]
-        for kind, x in units:
-            if got := self.best(normal(x)):
-                lines += kind == 1
-                if best is None or (-got[1], got[0]) < (-best[1], best[0]):
-                    best = got
-        return (*(best or (None, None)), lines)
+        """Best licence and coefficient among a text's units, and how many lines match."""
+        raw = (text or b"").replace(b"\r\n", b"\n").replace(b"\r", b"\n").split(b"\n")
+        lines = [normal(x) for x in raw]
+        known = [sum(map(self.words.__contains__, w)) for w in lines]
+        matched, found = 0, []
+        for x, w, k in zip(raw, lines, known, strict=True):
+            if self.may(len(w) - 1, k) and (got := self.best(w)):
+                matched += 1
+                found.append(got)
+            if k > 1 and len(pieces := SENTENCE.split(x)) > 1:
+                found += [self.best(normal(y)) for y in pieces]
+        parts: list[list[int]] = []  # paragraphs: numbers of their lines
+        for i, w in enumerate(lines):
+            if w:
+                if parts and parts[-1][-1] == i - 1:
+                    parts[-1].append(i)
+                else:
+                    parts.append([i])
+        size, of = [sum(len(lines[i]) for i in p) for p in parts], [sum(known[i] for i in p) for p in parts]
+        for i in range(len(parts)):
+            n = k = 0
+            for j in range(i, min(i + WINDOW, len(parts))):
+                n, k = n + size[j], k + of[j]
+                if n - 1 > self.most:
+                    break
+                if (j > i or len(parts[i]) > 1) and self.may(n - 1, k):
+                    found.append(self.best([x for p in parts[i : j + 1] for line in p for x in lines[line]]))
+        if len(parts) > WINDOW and self.may(sum(size) - 1, sum(of)):
+            found.append(self.best([x for w in lines for x in w]))
+        best = min((f for f in found if f), key=lambda f: (-f[1], f[0]), default=(None, None))
+        return (*best, matched)
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, alike: float = ALIKE) -> DataFrame:
     """(doc_id, license, dice, n_lines) for each row: the best licence or null, its coefficient, and how many lines match one.
 
-    Units of a text are the whole, its lines and its paragraphs (parted by an empty line). Null and empty texts match nothing.
+    Units of a text are the whole, its lines, the sentences of its lines (parted by . ! or ? and blanks), and up to WINDOW of its paragraphs in
+    a row. Line ends are LF, CRLF or CR; lines without letters and digits, as in comments, part paragraphs. Null and empty texts match nothing.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,10 +150,14 @@ def _sql() -> str:
     return f"""
 WITH t AS (SELECT t, name, {words.format("body")} AS w FROM (VALUES {rows}) v(t, name, body)),
 tb AS (SELECT t, name, len(w) - 1 AS m, w[i] || ' ' || w[i + 1] AS g, count(*) AS k FROM (SELECT *, unnest(range(1, len(w))) AS i FROM t) GROUP BY ALL),
-u AS (SELECT doc_id, 0 AS kind, 0 AS i, text FROM documents WHERE contains(text, chr(10))
-  UNION ALL SELECT doc_id, 1, unnest(range(1, len(s) + 1)), unnest(s) FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)
-  UNION ALL SELECT doc_id, 2, unnest(range(1, len(s) + 1)), unnest(s) FROM (SELECT doc_id, string_split(text, chr(10) || chr(10)) AS s FROM documents WHERE contains(text, chr(10) || chr(10)))),
-n AS (SELECT doc_id, kind, i, {words.format("text")} AS w FROM u),
+l AS (SELECT doc_id, unnest(range(1, len(s) + 1)) AS i, unnest(s) AS text FROM (SELECT doc_id, string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) AS s FROM documents)),
+lw AS (SELECT doc_id, i, text, array_to_string({words.format("text")}, ' ') AS t FROM l),
+p AS (SELECT doc_id, g, string_agg(t, ' ' ORDER BY i) AS t FROM (SELECT *, sum(CASE WHEN t = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM lw) WHERE t <> '' GROUP BY doc_id, g),
+r AS (SELECT doc_id, t, row_number() OVER (PARTITION BY doc_id ORDER BY g) AS r FROM p),
+n AS (SELECT doc_id, 0 AS kind, 0 AS i, string_split(string_agg(t, ' ' ORDER BY r), ' ') AS w FROM r GROUP BY doc_id
+  UNION ALL SELECT doc_id, 1, i, string_split(t, ' ') FROM lw
+  UNION ALL SELECT doc_id, 2, r * 10 + k, string_split(string_agg(t, ' ' ORDER BY br), ' ') FROM (SELECT a.doc_id, a.r, k, b.r AS br, b.t FROM r a CROSS JOIN range(1, {WINDOW + 1}) w(k) JOIN r b ON a.doc_id = b.doc_id AND b.r BETWEEN a.r AND a.r + k - 1) GROUP BY doc_id, r, k HAVING count(*) = k
+  UNION ALL SELECT doc_id, 3, i * 100000 + j, {words.format("x")} FROM (SELECT doc_id, i, unnest(range(len(s))) AS j, unnest(s) AS x FROM (SELECT doc_id, i, string_split_regex(text, '[.!?]+[ \\t]+') AS s FROM l))),
 c AS (SELECT * FROM n WHERE len(w) BETWEEN 2 AND 500),
 ub AS (SELECT doc_id, kind, i, len(w) - 1 AS n, w[j] || ' ' || w[j + 1] AS g, count(*) AS k FROM (SELECT *, unnest(range(1, len(w))) AS j FROM c) GROUP BY ALL),
 d AS (SELECT doc_id, kind, i, t, name, 2.0::DOUBLE * sum(least(ub.k, tb.k))::DOUBLE / (n + m) AS dice FROM ub JOIN tb USING (g) GROUP BY doc_id, kind, i, t, name, n, m HAVING dice >= {ALIKE}),

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import re
 from collections import Counter
 
 import pytest
@@ -14,8 +15,17 @@ def dice(a: list[bytes], b: list[bytes]) -> float:
 
 
 def expected(text: str | None):
-    raw = (text or "").encode()
-    units = [(0, raw), *((1, x) for x in raw.split(b"\n")), *((2, x) for x in raw.split(b"\n\n"))]
+    lines = re.split("\r\n|\r|\n", text or "")
+    parts: list[list[str]] = [[]]
+    for x in lines:
+        if re.search("[A-Za-z0-9]", x):
+            parts[-1].append(x)
+        elif parts[-1]:
+            parts.append([])
+    parts = ["\n".join(p) for p in parts if p]
+    units = [(0, text or ""), *((1, x) for x in lines), *((3, y) for x in lines for y in re.split("[.!?]+[ \t]+", x))]
+    units += [(2, "\n".join(parts[i : i + k])) for i in range(len(parts)) for k in range(1, 7) if i + k <= len(parts)]
+    units = [(kind, x.encode()) for kind, x in units]
     best, lines = None, 0
     for kind, x in units:
         w = normal(x)
@@ -31,9 +41,21 @@ def texts():
     for _, t in TEMPLATES:
         w = t.split()
         out += [t, t.lower(), "some text before\n\n" + t + "\n\nand after", "\n".join(" ".join(w[i : i + 9]) for i in range(0, len(w), 9)), " ".join(w[: len(w) * 3 // 4]), " ".join(w[: len(w) // 2]), t.replace("copies", "items"), f"{t}\n{t}"]
+    gpl, mit = next(t for n, t in TEMPLATES if n == "gpl"), TEMPLATES[0][1]
+    code = "\n".join(f"x{i} = f(y{i})" for i in range(40))
+    cut = lambda t: [" ".join(t.split()[i : i + 11]) for i in range(0, len(t.split()), 11)]
+    notice = re.sub(r"\. (This|You)", r".\n\n\1", gpl)
+    out += [f"{notice}\n\n{code}", "\r\n".join([*cut(mit), "", "", *code.split("\n")]), "/*\n" + "\n".join(" * " + x for x in cut(mit)) + "\n */\n" + code, code + "\n#\n" + "\n".join("# " + x for x in cut(notice)) + "\n#\n" + code]
+    out += ["We wrote this. Released under the MIT License. It is good.", "\r".join(cut(mit)), "a\n\n" * 50 + gpl + "\n\nb" * 50]
     return out
 
 
+def test_licences_within_longer_texts(spark, tables):
+    made = texts()[-7:]
+    got = {r.doc_id: r.license for r in licenses.op1_license_scan(spark, tables(documents=list(enumerate(made)))).collect()}
+    assert [got[i] for i in range(7)] == ["gpl", "mit", "mit", "gpl", "mit", "mit", "gpl"]
+
+
 def test_brute_force(spark, tables):
     made = texts()
     got = {r.doc_id: (r.license, r.dice, r.n_lines) for r in licenses.op1_license_scan(spark, tables(documents=list(enumerate(made)))).collect()}
