@@ -72,3 +72,10 @@ def test_stage_and_round_trip(spark):
     back = {r.doc_id: (r.text, r.n_tokens) for r in bpe.decode(out).collect()}
     assert back[1][0] == "Ein Wörtchen 😀" and back[2] == ("", 0) and back[3] == ("", 0)
     assert bpe.op4_bpe is not None and bpe.encode(docs.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("text", ["a" * 300_000, "abc def, " * 200_000, "漢字" * 100_000, "x1\n\n" * 200_000], ids=["one piece", "words", "wide", "lines"])
+def test_very_long_texts(text, library):
+    own = bpe.load(bpe.default_vocabulary())
+    ids = own.encode(text).tolist()
+    assert ids == library.encode(text, add_special_tokens=False).ids and own.decode(ids) == text

@@ -140,3 +140,10 @@ def test_low_branches_against_counted_entropies(spark):
     want = {(host, name(at)) for (host, at), x in importance.items() if x < htmltext.LOW}
     got = {(r.host, r.path) for r in htmltext.low_branches(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     assert got == want and len(want) >= 4
+
+
+def test_columns_named_like_those_added(spark):
+    pages = [(i, f"http://site.org/{i}", f"<div class=a>{i}</div><div class=b>same</div>", "x", 7, "y", [1]) for i in range(9)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string, text string, host int, __host string, __low array<int>")
+    got = htmltext.extract(df)
+    assert got.columns == ["page_id", "url", "text", "n_chars"] and {(r.page_id, r.text) for r in got.collect()} == {(i, str(i)) for i in range(9)}
