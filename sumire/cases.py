@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sumire.operators import lint, report
-from sumire.plans.config import Config
+from sumire.plans.config import RULE_IDS, Config
 from sumire.sources.files import spread
 
 FENCE = "~" * 12
@@ -275,7 +275,21 @@ def case_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("path", "n_points", F.col("nth").cast("long").alias("nth"), F.col("t.surface").alias("surface"), F.col("t.t_start").cast("long").alias("start"), F.col("t.pos").alias("pos"), F.col("t.pd1").alias("pd1"), F.col("t.base").alias("base"))
 
 
+def _engine(rule: str) -> Callable[[SparkSession, str], DataFrame]:
+    """One rule alone, the others turned off."""
+    optional = ("forbidden", "terminology", "required-headings")
+    rules = {r: False for r in RULE_IDS if r not in optional} | {rule: CONFIG["rules"].get(rule, True)}
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = lint.findings(_with_cases(spark, sf_dir, LINT), Config.merged({"rules": rules}))
+        long = lambda c: c.cast("long")
+        return found.select("path", long(F.col("nth")).alias("nth"), "rule", "severity", "message", *[long(F.col(c)).alias(c) for c in ("line", "column")], long(F.col("range")[0]).alias("start"), long(F.col("range")[1]).alias("stop"), F.col("fix.text").alias("fix_text"))
+
+    return run
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (case_findings, case_summary, case_gate, case_fixes, case_rewritten, case_text_report, case_json_report, case_foreign_report, case_blocks, case_tokens)}
+QUERIES |= {"engine_" + r.replace("-", "_"): _engine(r) for r in RULE_IDS}
 
 
 def _value(x: object) -> str:
@@ -321,3 +335,7 @@ SQL = {
     "case_blocks": "WITH " + _values("v", "k, block_idx, kind, in_blockquote, text, n_segments, n_sentences", BLOCKS) + f", {_DOCS} SELECT path, block_idx, kind, in_blockquote, text, n_segments, n_sentences FROM d JOIN v ON doc_id % {len(MARKDOWN)} = k",
     "case_tokens": "WITH " + _values("v", "k, nth, surface, start, pos, pd1, base", TOKENS) + f" SELECT CAST(doc_id AS VARCHAR) AS path, length(text) AS n_points, nth, surface, start, pos, pd1, base FROM documents JOIN v ON doc_id % {len(SENTENCES)} = k",
 }
+SQL |= {
+    "engine_" + r.replace("-", "_"): f"{_FOUND} SELECT path, row_number() OVER (PARTITION BY path ORDER BY nth) - 1 AS nth, rule, severity, message, line, \"column\", start, stop, fix_text FROM f WHERE rule = '{r}'"
+    for r in RULE_IDS
+}
