@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 
 MUL = 0x9E3779B97F4A7C15
+#: Values that are worked on at a time, so that they stay in a core's cache.
+PART = 1 << 14
 
 
 def grams(data: np.ndarray, k: int) -> np.ndarray:
@@ -12,6 +14,11 @@ def grams(data: np.ndarray, k: int) -> np.ndarray:
     n = len(data) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
+    if n > PART:
+        out = np.empty(n, np.uint64)
+        for i in range(0, n, PART):
+            out[i : i + PART] = grams(data[i : i + PART + k - 1], k)
+        return out
     power, size, have, done = data.astype(np.uint64) + np.uint64(1), 1, None, 0
     while True:
         if k & size:
@@ -33,6 +40,11 @@ def grams(data: np.ndarray, k: int) -> np.ndarray:
 
 def sliding(x: np.ndarray, w: int, pick) -> np.ndarray:
     """pick (minimum or maximum) over every run of w values."""
+    if (n := len(x) - w + 1) > PART:
+        out = np.empty(n, x.dtype)
+        for i in range(0, n, PART):
+            out[i : i + PART] = sliding(x[i : i + PART + w - 1], w, pick)
+        return out
     size = 1
     while size * 2 <= w:
         x = pick(x[:-size], x[size:])

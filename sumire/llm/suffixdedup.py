@@ -166,34 +166,50 @@ def _split(rows: np.ndarray, hot: np.ndarray, buckets: int) -> tuple[np.ndarray,
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def _sorted(high: np.ndarray, low: np.ndarray, most: int, name: np.ndarray, names: int) -> tuple[np.ndarray, np.ndarray]:
+    """Names in order of (high, low, name), and which of them begin a new (high, low); low is below most, a name below names."""
+    a, b = max(1, int(most - 1).bit_length()), max(1, int(names - 1).bit_length())
+    if len(high) and int(high.max()).bit_length() + a + b <= 63:  # one sort of packed numbers
+        packed = np.sort(((high << a | low) << b) | name)
+        name, key = packed & ((1 << b) - 1), packed >> b
+        return name, np.concatenate([[True], key[1:] != key[:-1]])
+    order = np.lexsort((name, low, high))
+    high, low = high[order], low[order]
+    return name[order], np.concatenate([[True], (high[1:] != high[:-1]) | (low[1:] != low[:-1])])[: len(high)]
+
+
 def rotations(piece: np.ndarray, text: np.ndarray, length: np.ndarray) -> np.ndarray:
     """Order of the rotations of strings that lie end to end in text, by piece (of each string) and symbols; equal ones in order of place.
 
     Ranks by so many symbols give those by twice as many; only rotations that are still tied go on.
     """
     n = len(text)
-    begin = np.repeat(np.cumsum(length) - length, length)
-    size, off = np.repeat(length, length), np.arange(n) - begin
-    ahead = lambda at, by: begin[at] + (off[at] + by) % size[at]
-    symbols = int(text.max()) + 1 if n else 1
-    key = (np.repeat(piece, length) * symbols + text) * symbols + text[ahead(np.arange(n), 1)]
-    rank, todo, by, most = np.zeros(n, np.int64), np.arange(n), 2, int(length.max()) if n else 0
+    if not n:
+        return np.zeros(0, np.int64)
+    kind = np.int32 if n < 1 << 31 else np.int64
+    end = np.repeat(np.cumsum(length).astype(kind), length)
+    size = np.repeat(length.astype(kind), length)
+    rank, todo, by, most = np.zeros(n, kind), np.arange(n), 1, int(length.max())
+    todo, new = _sorted(np.repeat(piece, length), text, int(text.max()) + 1, todo, n)
     while True:
-        order = key.argsort(kind="stable")
-        todo, key = todo[order], key[order]
-        new = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
+        # ranks are first places: those of a group of ties that was parted are counted from its own
         start = np.flatnonzero(new)
-        group = np.cumsum(new) - 1
-        # ranks are first places: those of a group of ties that goes on are counted from its own
-        old = rank[todo]
-        base = np.flatnonzero(np.concatenate([[True], old[1:] != old[:-1]])) if by > 2 and len(old) else np.zeros(min(1, len(old)), np.int64)
-        home = base[np.searchsorted(base, start, side="right") - 1] if len(start) else start
-        rank[todo] = (old[start] + start - home)[group]
-        tied = np.bincount(group)[group] > 1 if len(group) else new
-        todo = np.sort(todo[tied])
-        if by >= most or not len(todo):
+        count = np.diff(np.concatenate([start, [len(todo)]]))
+        old = rank[todo[start]]
+        first = np.concatenate([[True], old[1:] != old[:-1]])
+        home = start[first][np.cumsum(first) - 1]
+        rank[todo] = np.repeat(old + start - home, count)
+        todo = np.sort(todo[np.repeat(count > 1, count)])  # in order of place: what is read next lies together
+        if not len(todo):
+            order = np.empty(n, np.int64)
+            order[rank] = np.arange(n)
+            return order
+        if by >= most:
             return rank.argsort(kind="stable")
-        key = rank[todo] * n + rank[ahead(todo, by)]
+        ahead, stop, wrap = todo + by, end[todo], size[todo]
+        while (over := ahead >= stop).any():
+            ahead[over] -= wrap[over]
+        todo, new = _sorted(rank[todo].astype(np.int64), rank[ahead].astype(np.int64), n, todo, n)
         by *= 2
 
 
@@ -219,10 +235,10 @@ def _contexts(buckets: int):
             row, first, last, bucket = (x[order] for x in (row, first, last, bucket))
             cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
             chunk = docs["chunk"][0].as_py()
-            # so many buckets at a time that sorting holds a bounded number of symbols
+            # so few buckets at a time that what is sorted stays in a core's cache
             i = 0
             while i < len(cut):
-                j = max(i + 1, int(np.searchsorted(cut, cut[i] + (1 << 15), side="right")) - 1)
+                j = max(i + 1, int(np.searchsorted(cut, cut[i] + (1 << 12), side="right")) - 1)
                 s = slice(cut[i], cut[j] if j < len(cut) else len(bucket))
                 out += _transforms(chunk, bucket[s], rows[row[s]], first[s], last[s], key[row[s]], nth[row[s]], least[row[s]], most[row[s]])
                 i = j
@@ -241,7 +257,8 @@ def _transforms(chunk: int, bucket: np.ndarray, rows: np.ndarray, first: np.ndar
     who = np.repeat(np.arange(len(rows)), length)
     inside = np.arange(int(length.sum())) - np.repeat(begin, length)
     place = (at - first)[who]
-    text = rows[who, np.minimum(10 + first[who] + inside + np.where(inside > place, K - 1, 0), 9 + WIDE)].astype(np.int64) + 1
+    wide = rows.shape[1]
+    text = rows.ravel()[np.minimum((np.arange(len(rows)) * wide + 10 + first - begin)[who] + np.arange(len(who)) + np.where(inside > place, K - 1, 0), rows.size - 1)].astype(np.int64) + 1
     text[begin + at - first] = 257 + number
     text[begin + length - 1] = 0
     new = np.concatenate([[True], bucket[1:] != bucket[:-1]])
@@ -270,21 +287,19 @@ def interleave(bwt: np.ndarray, step: np.ndarray, depth: int) -> tuple[np.ndarra
     their common prefix. A round that parts none is the last.
     """
     n = len(bwt)
-    order, block, common = np.arange(n), np.zeros(n, np.int32), np.full(n, depth, np.uint8)
+    order, block, common, step = np.arange(n, dtype=np.int32), np.zeros(n, np.int32), np.full(n, depth, np.uint8), step.astype(np.int32)
     common[:1] = 0
     for done in range(depth):
         symbol = bwt[order]
         dealt = symbol.argsort(kind="stable")
         symbol, rest = symbol[dealt], block[dealt]
         order = step[order[dealt]]
-        part = np.flatnonzero((symbol[1:] != symbol[:-1]) | (rest[1:] != rest[:-1])) + 1
-        new = part[common[part] == depth]
-        if done and not len(new):
+        part = (symbol[1:] != symbol[:-1]) | (rest[1:] != rest[:-1])
+        new = part & (common[1:] == depth)
+        if done and not new.any():
             break
-        common[new] = done
-        block = np.zeros(n, np.int32)
-        block[part] = 1
-        np.cumsum(block, out=block)
+        common[1:][new] = done
+        np.cumsum(part, out=block[1:])
     return order, common
 
 
@@ -304,9 +319,9 @@ class Shards:
         anchors = np.flatnonzero(marks & (low == 1))
         bwt[anchors] = 257 + number[get("numbers", "<u4") + np.repeat(np.cumsum(known) - known, strings)]
         n = len(bwt)
-        shard = np.repeat(np.arange(len(symbols)), symbols)
+        dealt, _ = _sorted(np.repeat(np.arange(len(symbols)), symbols), bwt, int(bwt.max()) + 1, np.arange(n), n)
         self.step = np.empty(n, np.int64)
-        self.step[(shard * (int(bwt.max()) + 1) + bwt).argsort(kind="stable")] = np.arange(n)
+        self.step[dealt] = np.arange(n)
         self.bwt, self.of = bwt, np.repeat(np.arange(len(strings)), strings)
         at = np.arange(int(strings.sum())) + np.repeat(np.cumsum(symbols) - symbols - (np.cumsum(strings) - strings), strings)
         most = DEPTH + LENGTH - K + 1  # symbols of a string at most
@@ -335,13 +350,13 @@ class Shards:
         found = np.full(len(self.bwt), np.iinfo(np.int64).max)
         held = self.rows[first]
         found[held[held >= 0]] = np.repeat(low, (held >= 0).sum(1))
-        # strings with an anchor of their own are done; the others' transforms are merged, so many anchors at a time that symbols have 16 bits
+        # strings with an anchor of their own are done; the others' transforms are merged, so few anchors at a time that symbols have 16 bits and rows stay in a core's cache
         anchor = self.anchor[first]
         mixed = np.flatnonzero(np.bincount(anchor)[anchor] > 1)
         mixed = mixed[anchor[mixed].argsort(kind="stable")]
         number = np.cumsum(np.concatenate([[True], anchor[mixed[1:]] != anchor[mixed[:-1]]])) if len(mixed) else mixed
-        for i in range(0, int(number[-1]) if len(number) else 0, 60_000):
-            some = first[mixed[(number > i) & (number <= i + 60_000)]]
+        for i in range(0, int(number[-1]) if len(number) else 0, 2000):
+            some = first[mixed[(number > i) & (number <= i + 2000)]]
             keep = np.sort(self.rows[some][self.rows[some] >= 0])  # these strings' rows alone are still a transform, shard by shard
             to = np.full(len(self.bwt), -1)
             to[keep] = np.arange(len(keep))
@@ -428,11 +443,11 @@ def _planned(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     chunks, buckets = size // CHUNK + 1, size // BUCKET + 1
     d = d.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
     d = d.repartition(max(parts(docs.sparkSession), min(chunks, 100_000)), "chunk")  # one exchange, which all three passes read
-    by = d.groupBy("chunk")
+    by, places = d.groupBy("chunk"), max(parts(docs.sparkSession), min(buckets, 100_000))
     seen = by.applyInArrow(_seen(buckets), "bucket long, chunk long, once binary, many binary, often binary")
-    shared = seen.groupBy("bucket").applyInArrow(_shared_keys, "chunk long, bucket long, keys binary, hot binary")
+    shared = seen.repartition(places, "bucket").groupBy("bucket").applyInArrow(_shared_keys, "chunk long, bucket long, keys binary, hot binary")
     shards = by.cogroup(shared.groupBy("chunk")).applyInArrow(_contexts(buckets), SHARDS)
-    return d, shards.groupBy("bucket").applyInArrow(_earlier, ", ".join(f"{n} {'binary' if i else 'long'}" for i, n in enumerate(RUNS))), buckets
+    return d, shards.repartition(places, "bucket").groupBy("bucket").applyInArrow(_earlier, ", ".join(f"{n} {'binary' if i else 'long'}" for i, n in enumerate(RUNS))), buckets
 
 
 def digest(docs: DataFrame) -> DataFrame:
