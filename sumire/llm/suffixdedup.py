@@ -26,6 +26,8 @@ LENGTH, K = 50, 20
 CHUNK, BUCKET = 4 << 20, 2 << 20
 #: The strings of an anchor that occurs more often are dealt to buckets by a second anchor of SECOND bytes beside the first.
 HOT, SECOND = 1 << 16, 8
+#: Anchors whose strings are merged at a time: so few that symbols mostly have 8 bits and rows stay in a core's cache.
+TOGETHER = 128
 WIDE = 2 * LENGTH - K  # bytes of a context at most
 DEPTH = LENGTH - K + 1  # symbols of a string: its anchor is one
 
@@ -189,8 +191,11 @@ def rotations(piece: np.ndarray, text: np.ndarray, length: np.ndarray) -> np.nda
     kind = np.int32 if n < 1 << 31 else np.int64
     end = np.repeat(np.cumsum(length).astype(kind), length)
     size = np.repeat(length.astype(kind), length)
-    rank, todo, by, most = np.zeros(n, kind), np.arange(n), 1, int(length.max())
-    todo, new = _sorted(np.repeat(piece, length), text, int(text.max()) + 1, todo, n)
+    rank, todo, by, most = np.zeros(n, kind), np.arange(n), 2, int(length.max())
+    after = np.concatenate([text[1:], text[:1]])
+    after[np.cumsum(length) - 1] = text[np.cumsum(length) - length]
+    symbols = int(text.max()) + 1
+    todo, new = _sorted(np.repeat(piece, length) * symbols + text, after, symbols, todo, n)
     while True:
         # ranks are first places: those of a group of ties that was parted are counted from its own
         start = np.flatnonzero(new)
@@ -325,22 +330,21 @@ class Shards:
         self.bwt, self.of = bwt, np.repeat(np.arange(len(strings)), strings)
         at = np.arange(int(strings.sum())) + np.repeat(np.cumsum(symbols) - symbols - (np.cumsum(strings) - strings), strings)
         most = DEPTH + LENGTH - K + 1  # symbols of a string at most
-        self.rows, self.symbols = np.full((len(at), most), -1, np.int64), np.zeros((len(at), most), np.int64)
+        rows_, symbols_ = np.full((most, len(at)), -1, np.int32), np.zeros((most, len(at)), np.uint32)
         self.length, left = np.zeros(len(at), np.int64), np.arange(len(at))
         for t in range(most):
-            self.rows[left, t] = at
-            self.symbols[left, t] = found = bwt[at]
+            rows_[t, left] = at
+            symbols_[t, left] = found = bwt[at]
             self.length[left[found == 0]] = t + 1
             left, at = left[found > 0], self.step[at[found > 0]]
-        self.anchor = self.symbols.max(1)
+        self.rows, self.symbols, self.anchor = np.ascontiguousarray(rows_.T), np.ascontiguousarray(symbols_.T), symbols_.max(0)
 
     def earliest(self, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each string's windows, one string after the other, the least doc_id of any string that has them; and the windows' offsets."""
         windows = self.length - DEPTH
-        small = self.symbols.astype(np.uint32)
-        distinct, own = np.unique(small.view(f"V{small.shape[1] * 4}").ravel(), return_inverse=True)
-        first = np.full(len(distinct), len(small))
-        np.minimum.at(first, own, np.arange(len(small)))
+        distinct, own = np.unique(self.symbols.view(f"V{self.symbols.shape[1] * 4}").ravel(), return_inverse=True)
+        first = np.full(len(distinct), len(own))
+        np.minimum.at(first, own, np.arange(len(own)))
         low = np.full(len(distinct), np.iinfo(np.int64).max)
         np.minimum.at(low, own, least)
         offset = np.concatenate([[0], np.cumsum(windows)])
@@ -350,19 +354,21 @@ class Shards:
         found = np.full(len(self.bwt), np.iinfo(np.int64).max)
         held = self.rows[first]
         found[held[held >= 0]] = np.repeat(low, (held >= 0).sum(1))
-        # strings with an anchor of their own are done; the others' transforms are merged, so few anchors at a time that symbols have 16 bits and rows stay in a core's cache
+        # strings with an anchor of their own are done; the others' transforms are merged, TOGETHER anchors at a time
         anchor = self.anchor[first]
         mixed = np.flatnonzero(np.bincount(anchor)[anchor] > 1)
         mixed = mixed[anchor[mixed].argsort(kind="stable")]
         number = np.cumsum(np.concatenate([[True], anchor[mixed[1:]] != anchor[mixed[:-1]]])) if len(mixed) else mixed
-        for i in range(0, int(number[-1]) if len(number) else 0, 2000):
-            some = first[mixed[(number > i) & (number <= i + 2000)]]
-            keep = np.sort(self.rows[some][self.rows[some] >= 0])  # these strings' rows alone are still a transform, shard by shard
-            to = np.full(len(self.bwt), -1)
+        to = np.empty(len(self.bwt), np.int32)
+        cut = np.searchsorted(number, np.arange(1, int(number[-1]) + TOGETHER + 1, TOGETHER)) if len(number) else number
+        for i, j in zip(cut[:-1], cut[1:], strict=True):
+            held = self.rows[first[mixed[i:j]]]
+            keep = np.sort(held[held >= 0])  # these strings' rows alone are still a transform, shard by shard
+            if not len(keep):
+                continue
             to[keep] = np.arange(len(keep))
-            symbol = self.bwt[keep]
-            names, dense = np.unique(symbol, return_inverse=True)
-            order, common = interleave(dense.astype(np.uint16), to[self.step[keep]], DEPTH)
+            names, dense = np.unique(self.bwt[keep], return_inverse=True)
+            order, common = interleave(dense.astype(np.uint8 if len(names) <= 256 else np.uint16), to[self.step[keep]], DEPTH)
             doc = found[keep][order]
             begin = np.flatnonzero(common < DEPTH)
             found[keep[order]] = np.repeat(np.minimum.reduceat(doc, begin), np.diff(np.concatenate([begin, [len(doc)]])))
