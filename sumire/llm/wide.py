@@ -114,10 +114,28 @@ def forest(node: np.ndarray, last: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def stars(links: np.ndarray) -> np.ndarray:
+    """For links (a, b) one link (least, node) for each node but the least of those that links join: keys that find the same group leave the same links."""
+    nodes, at = np.unique(links, return_inverse=True)
+    a, b = at.reshape(-1, 2).T
+    label = np.arange(len(nodes))
+    while True:
+        new = label.copy()
+        np.minimum.at(new, a, label[b])
+        np.minimum.at(new, b, label[a])
+        np.minimum.at(new, label, new)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    out = np.stack([nodes[label], nodes], 1)
+    return out[label != np.arange(len(nodes))]
+
+
 def candidates(segment: np.ndarray, node: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Links (a, b) among fingerprints of a route that agree in a half and in all but one bit of the other, and are near enough in their last bits.
+    """Links (least, node) among fingerprints of a route that agree in a half and in all but one bit of the other, and are near enough in their last bits.
 
-    The other half's one-wildcard variants are the keys; a key's members leave the links of a spanning forest.
+    The other half's one-wildcard variants are the keys; a key's members leave the links of a spanning forest, and these a star for each group that they join.
     """
     found: list[np.ndarray] = []
     for wild in range(HALF, BITS):
@@ -139,7 +157,7 @@ def candidates(segment: np.ndarray, node: np.ndarray, last: np.ndarray) -> np.nd
             at = order[start[i] : start[i] + size[i]]
             found.append(np.array(forest(node[at], last[at]), np.int64).reshape(-1, 2))
     out = np.concatenate([np.zeros((0, 2), np.int64), *found])
-    return np.unique(np.sort(out, axis=1), axis=0)
+    return stars(out)
 
 
 def _candidates(rows: pa.Table) -> pa.Table:

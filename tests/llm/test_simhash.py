@@ -99,4 +99,5 @@ def test_stage_keeps_one_of_each_and_all_columns(spark):
     docs = spark.createDataFrame([(5, "same words in here", "x"), (2, "Same words in here", "y"), (8, "others altogether now", "z"), (None, "same words in here", "n")], "doc_id int, text string, __sim_gone string")
     out = simhash.stage_simhash(spark, docs, "")
     assert out.columns == docs.columns
-    assert sorted((tuple(r) for r in out.collect()), key=repr) == sorted([(2, "Same words in here", "y"), (8, "others altogether now", "z"), (None, "same words in here", "n")], key=repr)
+    # one row of each group: a copy without an id goes as any other
+    assert sorted((tuple(r) for r in out.collect()), key=repr) == sorted([(2, "Same words in here", "y"), (8, "others altogether now", "z")], key=repr)

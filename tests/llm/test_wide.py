@@ -102,3 +102,15 @@ def test_most_pairs_become_candidates(alike_):
         bits = np.unpackbits(prints[0].view(np.uint8) ^ prints[1].view(np.uint8), bitorder="little")
         met += bits.reshape(-1, wide.BITS).sum(1).min() <= 1 and bits[-128:].sum() <= wide.FAR
     assert met >= 300 * 0.97
+
+
+def test_stars_join_what_links_join():
+    rng = random.Random(9)
+    links = [(rng.randrange(400), rng.randrange(400)) for _ in range(250)] + [(1000 + i, 1001 + i) for i in range(200)]
+    up = {x: x for e in links for x in e}
+    for _ in range(500):
+        for a, b in links:
+            up[a] = up[b] = min(up[a], up[b])
+    got = wide.stars(np.array(links, np.int64))
+    assert sorted(map(tuple, got.tolist())) == sorted((m, x) for x, m in up.items() if m != x)
+    assert len(wide.stars(np.zeros((0, 2), np.int64))) == 0
