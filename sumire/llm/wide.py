@@ -178,43 +178,88 @@ def _sets(b: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def spanning(names: list, sets: list[np.ndarray], alike: float = ALIKE) -> list[tuple]:
-    """Links of a spanning forest over the sets at alike or more: each is compared with all not yet reached.
+    """Links of a spanning forest over the sets at alike or more: each is compared with all of a like size that are not yet reached.
 
-    What is left is indexed anew whenever it has shrunk to half.
+    What two sets share is bounded first, by the shingles that any other set has and by bitmaps of these (a bit that only one of the two has is a
+    shingle that they don't share); where the bounds allow a link, shingles are counted.
     """
-    out, todo = [], []
-    left = np.arange(len(sets))
-    while len(left) and (todo or len(left) > 1):
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    order = sizes.argsort(kind="stable")
+    order = order[sizes[order] > 0]
+    if len(order) < 2:
+        return []
+    sizes, flat = sizes[order], np.concatenate([sets[i] for i in order.tolist()])
+    holders = np.repeat(np.arange(len(order)), sizes)
+    _, ids, held = np.unique(flat, return_inverse=True, return_counts=True)
+    common = held[ids] > 1
+    flat, ids, holders = flat[common], ids[common], holders[common]
+    kept = np.bincount(holders, minlength=len(order))
+    starts = np.cumsum(kept) - kept
+    left = np.flatnonzero(kept >= alike * sizes - 1e-9)
+    if len(left) < 2:
+        return []
+    bits = 1 << max(6, int(2 * len(flat) // len(order)).bit_length())
+    maps = np.zeros((len(order), bits), bool)
+    maps[holders, (flat.view(np.uint64) & np.uint64(bits - 1)).view(np.int64)] = True
+    maps = np.ascontiguousarray(np.packbits(maps, axis=1).view(np.uint64)[left].T)  # a row for each word
+    ones = np.bitwise_count(maps).sum(0, dtype=np.int64)
+    mark = np.zeros(len(held), bool)
+    out: list[tuple] = []
+    todo: list[tuple] = []  # sets that were reached, with their bitmaps
+    free = np.ones(len(left), bool)
+    n_free, seed = len(left), 0
+    while n_free:
         if not todo:
-            todo, left = [int(left[0])], left[1:]
-        sizes = np.array([len(sets[i]) for i in left.tolist()])
-        flat = np.concatenate([sets[i] for i in left.tolist()])
-        order = flat.argsort(kind="stable")
-        flat, holders = flat[order], np.repeat(np.arange(len(left)), sizes)[order]
-        free = np.ones(len(left), bool)
-        while todo and free.sum() * 2 > len(left):
-            x = todo.pop()
-            lo, hi = np.searchsorted(flat, sets[x]), np.searchsorted(flat, sets[x], side="right")
-            n = hi - lo
-            if not n.any():
-                continue
-            at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-            both = np.bincount(holders[at], minlength=len(left))
-            hits = np.flatnonzero(free & (both > 0) & (both >= alike * (sizes + len(sets[x]) - both) - 1e-9))
-            free[hits] = False
-            todo += left[hits].tolist()
-            out += [(names[x], names[y]) for y in left[hits].tolist()]
-        left = left[free]
+            seed += int(free[seed:].argmax())
+            free[seed] = False
+            n_free -= 1
+            todo.append((int(left[seed]), maps[:, seed].copy(), int(ones[seed])))
+            continue
+        if n_free * 2 < len(left):
+            left, maps, ones = left[free], np.ascontiguousarray(maps[:, free]), ones[free]
+            free, seed = np.ones(n_free, bool), 0
+        x, bitmap, own = todo.pop()
+        size = sizes[left]
+        lo, hi = np.searchsorted(size, alike * sizes[x] - 1e-6), np.searchsorted(size, (sizes[x] + 1e-6) / alike, side="right")
+        both = np.bitwise_count(maps[:, lo:hi] & bitmap[:, None]).sum(0, dtype=np.int64)
+        least = (alike * (size[lo:hi] + sizes[x]) - 1e-6) / (1 + alike)
+        at = lo + np.flatnonzero(free[lo:hi] & (kept[x] - own + both >= least) & (kept[left[lo:hi]] - ones[lo:hi] + both >= least))
+        if not len(at):
+            continue
+        y = left[at]
+        n = kept[y]
+        ends = np.cumsum(n)
+        mine = ids[starts[x] : starts[x] + kept[x]]
+        mark[mine] = True
+        both = np.add.reduceat(mark[ids[np.arange(ends[-1]) - np.repeat(ends - n - starts[y], n)]], ends - n, dtype=np.int64)
+        mark[mine] = False
+        hits = at[both >= alike * (sizes[y] + sizes[x] - both) - 1e-9]
+        free[hits] = False
+        n_free -= len(hits)
+        todo += [(int(left[i]), maps[:, i].copy(), int(ones[i])) for i in hits.tolist()]
+        out += [(names[order[x]], names[order[i]]) for i in left[hits].tolist()]
     return out
 
 
-def _links(b: pa.RecordBatch) -> pa.RecordBatch:
+def _links(rows: pa.Table) -> pa.Table:
     found = []
-    for group in range(b.num_rows):
-        members = b.column(0)[group].values
-        sets = members.field("shingles")
-        found += spanning(members.field("name").to_pylist(), [s.values.to_numpy() for s in sets])
-    return pa.RecordBatch.from_arrays([pa.array([e[k] for e in found], pa.binary()) for k in (0, 1)], ["a", "b"])
+    if rows.num_rows > 1:
+        lists = rows["shingles"].combine_chunks()
+        values, at = lists.values.to_numpy(), lists.offsets.to_numpy()
+        found = spanning(rows["name"].to_pylist(), [values[i:j] for i, j in zip(at[:-1], at[1:], strict=True)])
+    return pa.table({c: pa.array([e[k] for e in found], pa.binary()) for k, c in enumerate("ab")})
+
+
+def compared(sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b): links of ALIKE or more that span every group of the sets (name, component, shingles) of one component.
+
+    A component's sets are dealt over blocks, and each pair of blocks is one group. Its rows go to Python as they are sorted: executors never hold groups as rows of arrays.
+    """
+    sizes = sets.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.size("shingles")) / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    dealt = sets.join(scratch.save(sizes).hint("merge"), "component").withColumn("own", F.expr("CAST(pmod(xxhash64(name), blocks) AS INT)"))
+    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    dealt = dealt.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "name", "shingles")
+    return dealt.groupBy("component", "i", "j").applyInArrow(_links, "a binary, b binary")
 
 
 def linked(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -229,12 +274,7 @@ def linked(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     words = arrow_map(docs.select(F.col("text").cast("binary").alias("text")), lambda: _named, "name binary, node long, words binary")
     picked = words.join(near.hint("merge"), "node").groupBy("name").agg(F.first("component").alias("component"), F.first("words").alias("words")).select("name", "component", "words")
     sets = scratch.save(arrow_map(picked, lambda: _sets, "name binary, component long, shingles array<long>"))
-    sizes = sets.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.size("shingles")) / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    dealt = sets.join(scratch.save(sizes).hint("merge"), "component").withColumn("own", F.expr("CAST(pmod(xxhash64(name), blocks) AS INT)"))
-    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    groups = dealt.groupBy("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list(F.struct("name", "shingles")).alias("members"))
-    links = arrow_map(groups.where("size(members) > 1").select("members"), lambda: _links, "a binary, b binary")
-    return reps.select("name", "rep"), components(links, scratch).distinct()
+    return reps.select("name", "rep"), components(compared(sets, scratch), scratch).distinct()
 
 
 def similar(docs: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -114,3 +115,59 @@ def test_stars_join_what_links_join():
     got = wide.stars(np.array(links, np.int64))
     assert sorted(map(tuple, got.tolist())) == sorted((m, x) for x, m in up.items() if m != x)
     assert len(wide.stars(np.zeros((0, 2), np.int64))) == 0
+
+
+def joined(n: int, links) -> list[int]:
+    up = list(range(n))
+
+    def find(x: int) -> int:
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        up[max(a, b)] = min(a, b)
+    return [find(i) for i in range(n)]
+
+
+def test_spanning_of_sets_of_many_sizes():
+    """Empty, equal, short and long sets, and sets at just 0.8 and just below."""
+    rng = np.random.default_rng(12)
+    sets = [np.empty(0, np.int64), np.empty(0, np.int64), np.array([5]), np.array([5]), np.array([6]), np.arange(4), np.arange(5), np.arange(6), np.arange(1000, 1009), np.arange(1001, 1010), np.arange(1000, 1010)]
+    for size in (3, 10, 40, 300, 4000):
+        base = rng.integers(-(1 << 62), 1 << 62, size)
+        for share in (1, 0.95, 0.9, 0.85, 0.8, 0.75, 0.5):
+            own = rng.choice(base, max(1, round(share * size)), replace=False)
+            sets += [own, np.concatenate([own, rng.integers(-(1 << 62), 1 << 62, max(1, size // 9))])]
+    sets = [np.unique(sets[i]).astype(np.int64) for i in rng.permutation(len(sets))]
+    own = [frozenset(s.tolist()) for s in sets]
+    want = joined(len(sets), [(i, j) for i in range(len(sets)) for j in range(i) if own[i] and alike(own[i], own[j])])
+    links = wide.spanning(list(range(len(sets))), sets)
+    assert joined(len(sets), links) == want and len(links) == len(sets) - len(set(want)) and all(alike(own[a], own[b]) for a, b in links)
+    assert wide.spanning([], []) == [] and wide.spanning(["a"], [np.arange(3)]) == []
+
+
+def test_spanning_of_a_large_group_with_few_links():
+    """Copies of one text with so many changes that few are alike: what is left must not be indexed anew for each."""
+    rng = np.random.default_rng(6)
+    base, sets = rng.integers(0, 1 << 62, 400), []
+    for i in range(3000):
+        keep = rng.random(400) >= (0.02 if i % 50 == 0 else rng.uniform(0.2, 0.5))
+        sets.append(np.unique(np.concatenate([base[keep], rng.integers(0, 1 << 62, int((~keep).sum()))])))
+    began = time.process_time()
+    links = wide.spanning(list(range(3000)), sets)
+    assert time.process_time() - began < 8
+    own = [frozenset(s.tolist()) for s in sets]
+    assert all(alike(own[a], own[b]) for a, b in links)
+    light = joined(3000, links)[::50]
+    assert len(set(light)) == 1
+
+
+def test_groups_are_not_collected_into_rows(spark):
+    """A group of many long sets goes to Python row by row; as one row of arrays it would fill an executor's heap."""
+    rows = [(bytes([i]), 7, list(range(i % 2 * 100, i % 2 * 100 + 20))) for i in range(6)]
+    found = wide.compared(spark.createDataFrame(rows, "name binary, component long, shingles array<long>"), wide.Scratch(spark, "test"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "collect_list" not in plan
+    assert joined(6, [(bytes(r.a)[0], bytes(r.b)[0]) for r in found.collect()]) == [0, 1, 0, 1, 0, 1]
