@@ -9,6 +9,8 @@ from .markdown import WHITE
 TERMINATORS = "。！？!?．"
 PAIRS = dict(zip("「『（([{【《〈“", "」』）)]}】》〉”", strict=True))
 CLOSERS = {b: a for a, b in PAIRS.items()}
+#: Ends of sentences in a text without brackets and quotes, and what these are.
+ENDS, NESTED = re.compile(f"(?:[{TERMINATORS}]|\\.(?=[{WHITE}]|\\Z))+"), re.compile("[" + re.escape("".join(PAIRS) + "".join(CLOSERS)) + '"]')
 MARKS = re.compile("[" + re.escape(TERMINATORS + "." + "".join(PAIRS) + "".join(CLOSERS) + '"') + "]")
 
 
@@ -25,6 +27,12 @@ def split(text: str) -> list[tuple[int, int]]:
     def ends(i: int) -> bool:
         return text[i] in TERMINATORS or text[i] == "." and (i + 1 == len(text) or text[i + 1] in WHITE)
 
+    if not NESTED.search(text):
+        for m in ENDS.finditer(text):
+            push(start, m.end())
+            start = m.end()
+        push(start, len(text))
+        return out
     for m in MARKS.finditer(text):
         i, c = m.start(), m[0]
         if i < skip:

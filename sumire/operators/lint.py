@@ -7,15 +7,17 @@ configuration turns off are not run. Sorting and numbering within a document hap
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sumire.functions.markdown import Document, utf16
 from sumire.functions.sentences import split
-from sumire.functions.tokens import Builtin, Morphology, tokenize
-from sumire.operators.rules import Memo, apply_fixes, fix_text, lint_text
+from sumire.functions.tokens import Builtin, Morphology, Token, tokenize
+from sumire.operators.rules import Found, Memo, apply_fixes, fix_rows, lint_rows
 from sumire.plans.config import Config
 
 FIX = "struct<range:array<int>,text:string>"
@@ -24,8 +26,26 @@ BLOCK = "struct<block_idx:int,kind:string,text:string,in_blockquote:boolean,segm
 TOKEN = "struct<surface:string,t_start:int,t_end:int,pos:string,pd1:string,pd2:string,pd3:string,ctype:string,cform:string,base:string,reading:string,pron:string>"
 
 
+#: Bytes of text that a kernel takes at a time; a longer text goes alone.
+PIECE = 1 << 18
+
+
+def _pieces(b: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows with at most PIECE bytes in column at, or one row."""
+    start = size = 0
+    for i, n in enumerate(pc.binary_length(b.column(at)).to_pylist()):
+        if size + (n or 0) > PIECE and i > start:
+            yield b.slice(start, i - start)
+            start, size = i, 0
+        size += n or 0
+    yield b.slice(start)
+
+
 def _arrow(df: DataFrame, column: str, added: str, work) -> DataFrame:
-    """df and a column of the given type, made from the strings of another; null strings are empty documents."""
+    """df and a column of the given type, made from the strings of another; null strings are empty documents.
+
+    work gets the column's Arrow type and gives a function from texts to an array. It gets PIECE bytes of a batch at a time, so a task never holds what a whole batch of texts gives.
+    """
     df = df.drop(added.split(" ", 1)[0])
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import StructField, StructType, _parse_datatype_string
@@ -35,22 +55,56 @@ def _arrow(df: DataFrame, column: str, added: str, work) -> DataFrame:
     schema, at = StructType([*df.schema.fields, StructField(name, spark_type)]), df.columns.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        call, arrow = work(), to_arrow_type(spark_type)
+        arrow = to_arrow_type(spark_type)
+        call = work(arrow)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([call(x or "") for x in b.column(at).to_pylist()], arrow)], [*b.schema.names, name])
+            for part in _pieces(b, at):
+                made = call([x or "" for x in part.column(at).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*part.columns, made if isinstance(made, pa.Array) else pa.array(made, arrow)], [*b.schema.names, name])
 
     return df.mapInArrow(run, schema)
 
 
+def _lists(kind: pa.ListType, lists: list[list[tuple]], build) -> pa.Array:
+    """An array of lists of structs; build gives the structs' columns for all of them in a row."""
+    rows = [r for x in lists for r in x]
+    return pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, lists))], pa.int32()), _structs(kind.value_type, build(rows)), type=kind)
+
+
+def _structs(kind: pa.StructType, columns: list, mask: list[bool] | None = None) -> pa.Array:
+    fields = [kind.field(i) for i in range(kind.num_fields)]
+    made = [c if isinstance(c, pa.Array) else pa.array(c, f.type) for f, c in zip(fields, columns, strict=True)]
+    return pa.StructArray.from_arrays(made, fields=fields, mask=None if mask is None else pa.array(mask, pa.bool_()))
+
+
+def _ranges(kind: pa.ListType, a: list[int], b: list[int]) -> pa.Array:
+    both = [0] * (2 * len(a))
+    both[::2], both[1::2] = a, b
+    return pa.ListArray.from_arrays(pa.array(range(0, len(both) + 1, 2), pa.int32()), pa.array(both, pa.int32()), type=kind)
+
+
+def _diagnostics(kind: pa.ListType, found: list[list[Found]]) -> pa.Array:
+    """Findings of documents as an array of the type of diagnostics."""
+    fix, span = kind.value_type.field("fix").type, kind.value_type.field("range").type
+
+    def build(rows: list[Found]) -> list:
+        rule, severity, message, line, column, end_line, end_column, a, b, fixes = map(list, zip(*rows, strict=True)) if rows else [[]] * 10
+        own = [f or (0, 0, "") for f in fixes]
+        patches = _structs(fix, [_ranges(span, [f[0] for f in own], [f[1] for f in own]), [f[2] for f in own]], [f is None for f in fixes])
+        return [rule, severity, message, line, column, end_line, end_column, _ranges(span, a, b), patches]
+
+    return _lists(kind, found, build)
+
+
 def lint(df: DataFrame, config: Config | None = None, backend: Morphology | None = None) -> DataFrame:
     """df (path, source, and any more) with diagnostics: the document's findings in order."""
     config = (config or Config()).checked()
 
-    def work():
+    def work(arrow: pa.DataType):
         memo = Memo()
 
-        def call(text: str) -> list[dict]:
-            return lint_text(text, config, backend, memo)
+        def call(texts: list[str]) -> pa.Array:
+            return _diagnostics(arrow, [lint_rows(x, config, backend, memo) for x in texts])
 
         return call
 
@@ -67,10 +121,10 @@ def fix(df: DataFrame, config: Config | None = None, backend: Morphology | None
     """df with fixed (source after up to ten rounds of fixes, applied in number, diagnostics left)."""
     config = (config or Config()).checked()
 
-    def work():
-        def call(text: str) -> dict:
-            source, n, left = fix_text(text, config, backend)
-            return {"source": source, "applied": n, "diagnostics": left}
+    def work(arrow: pa.DataType):
+        def call(texts: list[str]) -> pa.Array:
+            out = [fix_rows(x, config, backend) for x in texts]
+            return _structs(arrow, [[x[0] for x in out], [x[1] for x in out], _diagnostics(arrow.field("diagnostics").type, [x[2] for x in out])])
 
         return call
 
@@ -90,8 +144,8 @@ def fix_once(df: DataFrame) -> DataFrame:
 def blocks(df: DataFrame) -> DataFrame:
     """A row (path, and the block's fields) for each block of prose; offsets are code points."""
 
-    def work():
-        def call(text: str) -> list[dict]:
+    def work(_: pa.DataType):
+        def one(text: str) -> list[dict]:
             return [
                 {
                     "block_idx": i,
@@ -104,7 +158,7 @@ def blocks(df: DataFrame) -> DataFrame:
                 for i, b in enumerate(Document(text).blocks)
             ]
 
-        return call
+        return lambda texts: [one(x) for x in texts]
 
     return _arrow(df.select("path", "source"), "source", f"blocks array<{BLOCK}>", work).select("path", F.inline("blocks"))
 
@@ -112,20 +166,30 @@ def blocks(df: DataFrame) -> DataFrame:
 def tokens(df: DataFrame, column: str = "text", backend: Morphology | None = None) -> DataFrame:
     """df with tokens of a text column. Distinct texts go through the analyser once a task."""
 
-    def work():
+    def work(arrow: pa.DataType):
         memo = Memo()
         own = backend or Builtin()
 
-        def call(text: str) -> list[dict]:
+        def one(text: str) -> list[Token]:
             if text not in memo:
-                memo[text] = [dict(zip(("surface", "t_start", "t_end", "pos", "pd1", "pd2", "pd3", "ctype", "cform", "base", "reading", "pron"), t, strict=True)) for t in tokenize(own, text)]
+                memo[text] = tokenize(own, text)
             return memo[text]
 
-        return call
+        return lambda texts: _lists(arrow, [one(x) for x in texts], lambda rows: list(map(list, zip(*rows, strict=True))) or [[]] * 12)
 
     return _arrow(df, column, f"tokens array<{TOKEN}>", work)
 
 
+def token_counts(df: DataFrame, column: str = "text", backend: Morphology | None = None) -> DataFrame:
+    """df with n_tokens, how many tokens a text column has: the size of what tokens gives, which isn't made or sent."""
+
+    def work(_: pa.DataType):
+        one = (lambda x: len(tokenize(backend, x))) if backend else Builtin().count
+        return lambda texts: [one(x) for x in texts]
+
+    return _arrow(df, column, "n_tokens int", work)
+
+
 def summary(linted: DataFrame) -> DataFrame:
     """One row: errors, warnings, and fixes applied, of a lint's diagnostics or a fix's."""
     fixed = "fixed" in linted.columns
@@ -144,4 +208,4 @@ def utf16_length(text: Column) -> Column:
     return F.char_length(text) + F.regexp_count(text, F.lit(r"[\x{10000}-\x{10FFFF}]"))
 
 
-__all__ = ["apply_fixes", "blocks", "findings", "fix", "fix_once", "gate", "lint", "summary", "tokens", "utf16", "utf16_length"]
+__all__ = ["apply_fixes", "blocks", "findings", "fix", "fix_once", "gate", "lint", "summary", "token_counts", "tokens", "utf16", "utf16_length"]
