@@ -210,7 +210,7 @@ TOKENS = [
 
 def _with_cases(spark: SparkSession, sf_dir: str, cases: list[str]) -> DataFrame:
     """(path, case, source): each document's case, and behind it its own text in a fence."""
-    d = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    d = spread(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "text")
     case = F.pmod(F.col("doc_id"), F.lit(len(cases))).cast("int")
     fence = F.lit(FENCE)
     return d.select(F.col("doc_id").cast("string").alias("path"), case.alias("case"), F.concat(F.element_at(F.array(*map(F.lit, cases)), case + 1), F.lit("\n\n"), fence, F.lit("\n"), F.coalesce("text", F.lit("")), F.lit("\n"), fence, F.lit("\n")).alias("source"))
@@ -268,7 +268,7 @@ def case_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def case_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of each document's case sentence, with its own text's length beside them."""
-    d = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    d = spread(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "text")
     case = F.pmod(F.col("doc_id"), F.lit(len(SENTENCES))).cast("int")
     d = d.select(F.col("doc_id").cast("string").alias("path"), F.char_length("text").cast("long").alias("n_points"), F.element_at(F.array(*map(F.lit, SENTENCES)), case + 1).alias("text"))
     out = lint.tokens(d).select("path", "n_points", F.posexplode("tokens").alias("nth", "t"))

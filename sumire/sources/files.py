@@ -31,12 +31,14 @@ def token_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where("trim(value) <> '' AND NOT value rlike '^[#-]'").withColumnRenamed("value", "text")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A scan as it is or, if it has fewer files than there are cores, dealt over them: a small table can be one row group, which one task reads.
+#: Bytes of files for a task. A row group is one task whatever its size, and a kernel needs a second or more for each MB of a packed one.
+TASK_BYTES = 8 << 20
+
 
-    A table of many files is never exchanged.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < 16 * cores and len(df.inputFiles()) < cores:
-        return df.repartition(4 * cores)
+def spread(df: DataFrame) -> DataFrame:
+    """A scan as it is or, if it has fewer tasks than its files' bytes ask for, or fewer files than there are cores, dealt anew: tasks stay as small as they are, however large the table."""
+    cores, tasks = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    wanted = -(-int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // TASK_BYTES)
+    if tasks < wanted or tasks < 16 * cores and len(df.inputFiles()) < cores:
+        return df.repartition(max(4 * cores, wanted))
     return df
