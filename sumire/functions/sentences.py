@@ -9,34 +9,24 @@ from .markdown import WHITE
 TERMINATORS = "。！？!?．"
 PAIRS = dict(zip("「『（([{【《〈“", "」』）)]}】》〉”", strict=True))
 CLOSERS = {b: a for a, b in PAIRS.items()}
-#: Ends of sentences in a text without brackets and quotes, and what these are.
-ENDS, NESTED = re.compile(f"(?:[{TERMINATORS}]|\\.(?=[{WHITE}]|\\Z))+"), re.compile("[" + re.escape("".join(PAIRS) + "".join(CLOSERS)) + '"]')
-MARKS = re.compile("[" + re.escape(TERMINATORS + "." + "".join(PAIRS) + "".join(CLOSERS) + '"') + "]")
+#: Brackets, quotes, and runs of what ends a sentence outside these.
+MARKS = re.compile("[" + re.escape("".join(PAIRS) + "".join(CLOSERS)) + f'"]|(?:[{TERMINATORS}]|\\.(?=[{WHITE}]|\\Z))+')
 
 
 def split(text: str) -> list[tuple[int, int]]:
     """Trimmed [start, end) of each sentence, without empty ones."""
-    out, stack, quoted, start, skip = [], [], False, 0, -1
+    out, stack, start = [], [], 0
 
     def push(a: int, b: int) -> None:
-        body = text[a:b]
-        left = len(body) - len(body.lstrip(WHITE))
-        if left < len(body):
-            out.append((a + left, a + len(body.rstrip(WHITE))))
+        while a < b and text[a] in WHITE:
+            a += 1
+        while a < b and text[b - 1] in WHITE:
+            b -= 1
+        if a < b:
+            out.append((a, b))
 
-    def ends(i: int) -> bool:
-        return text[i] in TERMINATORS or text[i] == "." and (i + 1 == len(text) or text[i + 1] in WHITE)
-
-    if not NESTED.search(text):
-        for m in ENDS.finditer(text):
-            push(start, m.end())
-            start = m.end()
-        push(start, len(text))
-        return out
     for m in MARKS.finditer(text):
-        i, c = m.start(), m[0]
-        if i < skip:
-            continue
+        c = m[0]
         if c in PAIRS:
             stack.append(c)
         elif c in CLOSERS:
@@ -47,11 +37,8 @@ def split(text: str) -> list[tuple[int, int]]:
                 stack.pop()
             else:
                 stack.append('"')
-        elif not stack and ends(i):
-            j = i + 1
-            while j < len(text) and ends(j):
-                j += 1
-            push(start, j)
-            start = skip = j
+        elif not stack:
+            push(start, m.end())
+            start = m.end()
     push(start, len(text))
     return out
