@@ -18,7 +18,7 @@ RULES = {
     "no-exclamation-question-mark": f"[{java_set('exclamation')}]",
     "no-zero-width-spaces": f"[{java_set('zero-width')}]",
     "no-invalid-control-character": f"[{java_set('control')}]",
-    "no-nfd": f"(?s).[{java_set('combining')}]",
+    "no-nfd": f"(?s)(?<=.)[{java_set('combining')}]",
     "no-hankaku-kana": f"[{java_set('half-width')}]+",
 }
 
@@ -52,8 +52,8 @@ def rule(df: DataFrame, name: str, text: str = "text", most: int = 6) -> DataFra
     pattern = RULES[name]
     found = df.where(F.col(text).rlike(pattern)).withColumn("__f", F.explode(spots(F.col(text), pattern)))
     keep = utf16_length(F.col("__f.surface")) > most if name == "max-kanji-continuous-len" else F.lit(True)
-    shift = 1 if name == "no-nfd" else 0
-    return found.where(keep).select(*[c for c in df.columns if c != text], (F.col("__f.start") + shift).alias("start"), F.col("__f.surface").alias("surface"))
+    surface = F.substring(text, F.col("__f.start"), F.lit(2)) if name == "no-nfd" else F.col("__f.surface")  # with the sign before it
+    return found.where(keep).select(*[c for c in df.columns if c != text], F.col("__f.start").alias("start"), surface.alias("surface"))
 
 
 def sentences(text: Column) -> Column:
